@@ -223,6 +223,7 @@ def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("cve_ids", _items("cve_ids"))
         .withColumn("source_feeds", _items("source_feeds"))
         .withColumn("recommended", _items("recommended", ";"))
+        .withColumn("discovered_at", F.col("discovered_at").cast("timestamp"))
         .drop("stride_second", "conf_primary", "conf_second", "indicator_values", "indicator_type")
     )
 
