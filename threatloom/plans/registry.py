@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["triage"]
+AREAS = ["triage", "assets"]
 
 
 def all_queries() -> dict:
