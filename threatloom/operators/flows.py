@@ -18,6 +18,9 @@ from threatloom.functions.skew import salted_join
 
 FILE = ["repo_id", "file"]
 WINDOW = 50  # widest band of any rule, in lines
+OTHER = "other"
+TYPES = ["api", "database", "authentication", "secret", "filesystem", "network", "cryptography", "session",
+         "cache", "queue", OTHER]
 
 
 def is_config_file(file: Column) -> Column:
@@ -45,13 +48,36 @@ def pair_sensitive(kind: str, source: Column, destination: Column) -> Column:
     return F.lit(True)
 
 
-def line_counts(assets: DataFrame) -> DataFrame:
-    """Assets per (repo, file, line) and the types the bands look at."""
-    count = lambda t: F.count_if(F.col("type") == t)
-    return assets.groupBy(*FILE, "line").agg(
-        count("authentication").alias("n_auth"), count("api").alias("n_api"),
-        count("cryptography").alias("n_crypto"), count("network").alias("n_network"),
-    )
+def line_sites(assets: DataFrame) -> DataFrame:
+    """What stands on each line of each file: per type the assets, the sensitive ones, first ``ord``.
+
+    One row per (repo, file, line), whatever the number of assets there; all further flow work reads
+    this table.  ``assets`` should be unique by id.  Counters only, so the aggregate stays in the
+    hash path and is reduced before the shuffle.
+    """
+    known = TYPES[:-1]
+    measures = []
+    for name in TYPES:
+        test = (F.col("type") == name) if name != OTHER else ~F.col("type").isin(known)
+        measures += [
+            F.count_if(test).alias(f"n_{name}"),
+            F.count_if(test & F.col("sensitive")).alias(f"s_{name}"),
+            F.min(F.when(test & ~F.col("sensitive"), F.col("ord"))).alias(f"o_{name}_0"),
+            F.min(F.when(test & F.col("sensitive"), F.col("ord"))).alias(f"o_{name}_1"),
+        ]
+    return assets.groupBy(*FILE, "line").agg(*measures)
+
+
+def type_rows(sites: DataFrame, *carried: str) -> DataFrame:
+    """Sites as rows of (type, sensitive, n, ord), at most two per type and line."""
+    cells = []
+    for name in TYPES:
+        for flag, n in ((False, F.col(f"n_{name}") - F.col(f"s_{name}")), (True, F.col(f"s_{name}"))):
+            cells.append(F.when(n > 0, F.struct(
+                F.lit(name).alias("type"), F.lit(flag).alias("sensitive"), n.alias("n"),
+                F.col(f"o_{name}_{int(flag)}").alias("ord"))))
+    return sites.select(*FILE, "line", *carried, F.explode(F.array_compact(F.array(*cells))).alias("t")).select(
+        *FILE, "line", *carried, "t.*")
 
 
 def _bands(lines: DataFrame, marks: DataFrame) -> DataFrame:
@@ -67,31 +93,44 @@ def _bands(lines: DataFrame, marks: DataFrame) -> DataFrame:
     return left.join(renamed, [*FILE, "window"]).where(F.abs(F.col("line") - F.col("m_line")) < WINDOW)
 
 
-def neighbourhood(assets: DataFrame) -> DataFrame:
-    """Per line with assets: what stands on it and how much auth / api / crypto stands near it."""
-    counts = line_counts(assets)
-    marks = counts.where((F.col("n_auth") > 0) | (F.col("n_api") > 0) | (F.col("n_crypto") > 0))
-    near = lambda column, width: F.coalesce(
-        F.sum(F.when(F.abs(F.col("line") - F.col("m_line")) < width, F.col(f"m_{column}"))), F.lit(0)
-    ).cast("bigint")
-    found = _bands(counts, marks).groupBy(*FILE, "window", "line").agg(
-        near("n_auth", 50).alias("auth_50"), near("n_api", 50).alias("api_50"),
-        near("n_auth", 10).alias("auth_10"), near("n_api", 10).alias("api_10"),
-        near("n_crypto", 20).alias("crypto_20"),
+def neighbourhood(sites: DataFrame) -> DataFrame:
+    """Sites with how much auth / api / crypto stands near them in their file."""
+    marks = ["n_authentication", "n_api", "n_cryptography"]
+    counts = sites.select(*FILE, "line", *marks)
+    marked = counts.where((F.col(marks[0]) > 0) | (F.col(marks[1]) > 0) | (F.col(marks[2]) > 0))
+    near = lambda column, width: F.sum(
+        F.when(F.abs(F.col("line") - F.col("m_line")) < width, F.col(f"m_{column}")).otherwise(0))
+    found = _bands(counts, marked).groupBy(*FILE, "window", "line").agg(
+        near(marks[0], 50).alias("auth_50"), near(marks[1], 50).alias("api_50"),
+        near(marks[0], 10).alias("auth_10"), near(marks[1], 10).alias("api_10"),
+        near(marks[2], 20).alias("crypto_20"),
     ).drop("window")
-    zero = ["auth_50", "api_50", "auth_10", "api_10", "crypto_20"]
-    return counts.join(found, [*FILE, "line"], "left").fillna(0, zero)
+    return sites.join(found, [*FILE, "line"], "left").fillna(
+        0, ["auth_50", "api_50", "auth_10", "api_10", "crypto_20"])
+
+
+def _role_count(kind: str, role: str, prefix: str):
+    """Number of assets of a row that can be the given end of a flow kind."""
+    ends = next(k[1:3] for k in code.FLOW_KINDS if k[0] == kind)
+    wanted = ends[0] if role == "src" else ends[1]
+    if wanted == "*":
+        names = [t for t in TYPES if t != "secret"]
+    elif wanted == "+":
+        names, prefix = [t for t in TYPES if t != "cryptography"], "s"
+    else:
+        names = [wanted]
+    return sum((F.col(f"{prefix}_{t}") for t in names[1:]), F.col(f"{prefix}_{names[0]}"))
 
 
-def file_counts(assets: DataFrame) -> DataFrame:
+def file_counts(sites: DataFrame) -> DataFrame:
     """Sources and destinations of every kind per file, with the sensitive ones apart."""
     measures = []
     for kind, *_ in code.FLOW_KINDS:
-        k = kind.replace("-", "_")
-        for role, test in (("src", is_source(kind)), ("dst", is_destination(kind))):
-            measures.append(F.count_if(test).alias(f"{k}_{role}"))
-            measures.append(F.count_if(test & F.col("sensitive")).alias(f"{k}_{role}_s"))
-    return assets.groupBy(*FILE).agg(*measures)
+        for role in ("src", "dst"):
+            name = f"{kind.replace('-', '_')}_{role}"
+            measures.append(F.sum(_role_count(kind, role, "n")).alias(name))
+            measures.append(F.sum(_role_count(kind, role, "s")).alias(f"{name}_s"))
+    return sites.groupBy(*FILE).agg(*measures)
 
 
 def repo_config_counts(per_file: DataFrame) -> DataFrame:
@@ -103,9 +142,9 @@ def repo_config_counts(per_file: DataFrame) -> DataFrame:
     )
 
 
-def flow_summary(assets: DataFrame) -> DataFrame:
-    """Flows per (repo, source file, kind): how many, how many sensitive.  ``assets`` unique by id."""
-    per_file = file_counts(assets)
+def flow_summary(sites: DataFrame) -> DataFrame:
+    """Flows per (repo, source file, kind): how many, how many sensitive."""
+    per_file = file_counts(sites)
     full = salted_join(per_file, repo_config_counts(per_file), ["repo_id"], ["file"])
     cells = []
     for kind, *_ in code.FLOW_KINDS:
@@ -125,26 +164,27 @@ def flow_summary(assets: DataFrame) -> DataFrame:
         cells.append(F.struct(F.lit(kind).alias("kind"), total.cast("bigint").alias("n_flows"),
                               sensitive.cast("bigint").alias("n_sensitive")))
     products = full.select(*FILE, F.explode(F.array(*cells)).alias("f")).select(*FILE, "f.*")
-    near = neighbourhood(assets)
     banded = (
-        near.groupBy(*FILE).agg(F.sum(F.col("n_auth") * F.col("api_50")).alias("n_flows"))
+        neighbourhood(sites).groupBy(*FILE)
+        .agg(F.sum(F.col("n_authentication") * F.col("api_50")).alias("n_flows"))
         .select(*FILE, F.lit("auth-api").alias("kind"), "n_flows", F.col("n_flows").alias("n_sensitive"))
     )
     return products.unionByName(banded).where(F.col("n_flows") > 0)
 
 
-def flow_endpoints(assets: DataFrame) -> DataFrame:
+def flow_endpoints(assets: DataFrame, sites: DataFrame) -> DataFrame:
     """Each asset's part in the flows: kind, role and number of flows it is an end of.
 
     The flows of a kind and file are the product of its source rows and destination rows (for
     ``auth-api``: of those less than 50 lines apart), so this table is the whole flow set.
     """
-    per_file = file_counts(assets)
+    per_file = file_counts(sites)
     narrow = [c for c in per_file.columns if not c.endswith("_s")]
     with_file = salted_join(assets, per_file.select(*narrow), FILE, ["id"])
     with_repo = salted_join(with_file, repo_config_counts(per_file), ["repo_id"], ["id"])
-    near = neighbourhood(assets).select(*FILE, "line", "auth_50", "api_50")
-    full = salted_join(with_repo, near, [*FILE, "line"], ["id"])
+    near = neighbourhood(sites).select(*FILE, "line", "auth_50", "api_50")
+    # One row per line on the right; a line that holds very many assets is split by AQE's skew join.
+    full = with_repo.join(near, [*FILE, "line"])
     config = is_config_file(F.col("file"))
     cells = []
     for kind, *_ in code.FLOW_KINDS:

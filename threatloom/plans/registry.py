@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["triage", "assets"]
+AREAS = ["triage", "assets", "rules"]
 
 
 def all_queries() -> dict:

@@ -16,6 +16,10 @@ def unique_assets(spark, d):
     return a.unique_by_id(v.assets(spark, d))
 
 
+def sites(spark, d):
+    return fl.line_sites(unique_assets(spark, d))
+
+
 def _page_hits(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").alias("content"))
     return a.rule_hits(a.split_lines(pages)).groupBy("page_id", "rule_id", "sub_id").agg(F.count("*").alias("n_lines"))
@@ -35,9 +39,9 @@ QUERIES = {
         F.col("doc_id").cast("string").alias("repo_id"), F.lit("notes.py").alias("file"),
         F.col("line_no").cast("bigint").alias("ord"), "line_no", "line")).select("repo_id", "id", "type", "name"),
     "assets_by_type_filter": lambda s, d: a.of_type(v.assets(s, d), "api").select("repo_id", "ord", "id", "name"),
-    "flow_summary": lambda s, d: fl.flow_summary(unique_assets(s, d)),
-    "flow_endpoints": lambda s, d: fl.flow_endpoints(unique_assets(s, d)).select(
+    "flow_summary": lambda s, d: fl.flow_summary(sites(s, d)),
+    "flow_endpoints": lambda s, d: fl.flow_endpoints(unique_assets(s, d), sites(s, d)).select(
         "repo_id", "id", "kind", "role", "n_flows"),
-    "line_neighbourhood": lambda s, d: fl.neighbourhood(v.assets(s, d)).select(
+    "line_neighbourhood": lambda s, d: fl.neighbourhood(fl.line_sites(v.assets(s, d))).select(
         "repo_id", "file", "line", "auth_50", "api_50", "auth_10", "api_10", "crypto_20"),
 }
