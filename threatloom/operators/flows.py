@@ -18,9 +18,6 @@ from threatloom.functions.skew import salted_join
 
 FILE = ["repo_id", "file"]
 WINDOW = 50  # widest band of any rule, in lines
-OTHER = "other"
-TYPES = ["api", "database", "authentication", "secret", "filesystem", "network", "cryptography", "session",
-         "cache", "queue", OTHER]
 
 
 def is_config_file(file: Column) -> Column:
@@ -49,38 +46,24 @@ def pair_sensitive(kind: str, source: Column, destination: Column) -> Column:
 
 
 def line_sites(assets: DataFrame) -> DataFrame:
-    """What stands on each line of each file: per type the assets, the sensitive ones, first ``ord``.
+    """Assets counted per (repo, file, line, type, sensitive), with the first ``ord``.
 
-    One row per (repo, file, line), whatever the number of assets there; all further flow work reads
-    this table.  ``assets`` should be unique by id.  Counters only, so the aggregate stays in the
-    hash path and is reduced before the shuffle.
+    At most two rows per type and line, whatever the number of assets there; all further flow work
+    reads this table.  ``assets`` should be unique by id.
     """
-    known = TYPES[:-1]
-    measures = []
-    for name in TYPES:
-        test = (F.col("type") == name) if name != OTHER else ~F.col("type").isin(known)
-        measures += [
-            F.count_if(test).alias(f"n_{name}"),
-            F.count_if(test & F.col("sensitive")).alias(f"s_{name}"),
-            F.min(F.when(test & ~F.col("sensitive"), F.col("ord"))).alias(f"o_{name}_0"),
-            F.min(F.when(test & F.col("sensitive"), F.col("ord"))).alias(f"o_{name}_1"),
-        ]
-    return assets.groupBy(*FILE, "line").agg(*measures)
-
-
-def type_rows(sites: DataFrame, *carried: str) -> DataFrame:
-    """Sites as rows of (type, sensitive, n, ord), at most two per type and line."""
-    cells = []
-    for name in TYPES:
-        for flag, n in ((False, F.col(f"n_{name}") - F.col(f"s_{name}")), (True, F.col(f"s_{name}"))):
-            cells.append(F.when(n > 0, F.struct(
-                F.lit(name).alias("type"), F.lit(flag).alias("sensitive"), n.alias("n"),
-                F.col(f"o_{name}_{int(flag)}").alias("ord"))))
-    return sites.select(*FILE, "line", *carried, F.explode(F.array_compact(F.array(*cells))).alias("t")).select(
-        *FILE, "line", *carried, "t.*")
+    return assets.groupBy(*FILE, "line", "type", "sensitive").agg(
+        F.count("*").alias("n"), F.min("ord").alias("ord"))
+
 
+def line_counts(sites: DataFrame) -> DataFrame:
+    """Per line the counts the bands and rules look at."""
+    count = lambda t: F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0))
+    return sites.groupBy(*FILE, "line").agg(
+        count("authentication").alias("n_auth"), count("api").alias("n_api"),
+        count("cryptography").alias("n_crypto"), count("network").alias("n_network"))
 
-def _bands(lines: DataFrame, marks: DataFrame) -> DataFrame:
+
+def _bands(lines: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs of lines of one file less than WINDOW apart.
 
     Equi-join on (file, line window); the marks visit the two neighbour windows as well, so at most
@@ -88,48 +71,40 @@ def _bands(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """
     window = F.floor(F.col("line") / WINDOW)
     left = lines.withColumn("window", window)
-    right = marks.withColumn("window", F.explode(F.array(window - 1, window, window + 1)))
-    renamed = right.select(*FILE, "window", *[F.col(c).alias(f"m_{c}") for c in marks.columns if c not in FILE])
-    return left.join(renamed, [*FILE, "window"]).where(F.abs(F.col("line") - F.col("m_line")) < WINDOW)
+    visited = marks.withColumn("window", F.explode(F.array(window - 1, window, window + 1)))
+    names = {c: F.col(c).alias(f"m_{c}") for c in visited.columns}
+    right = visited.select(*names.values())
+    same = F.lit(True)
+    for key in (*FILE, "window"):
+        same = same & (F.col(key) == F.col(f"m_{key}"))
+    near = F.abs(F.col("line") - F.col("m_line")) < WINDOW
+    return left.join(right, same & near, how).drop(*[f"m_{key}" for key in (*FILE, "window")])
 
 
 def neighbourhood(sites: DataFrame) -> DataFrame:
-    """Sites with how much auth / api / crypto stands near them in their file."""
-    marks = ["n_authentication", "n_api", "n_cryptography"]
-    counts = sites.select(*FILE, "line", *marks)
-    marked = counts.where((F.col(marks[0]) > 0) | (F.col(marks[1]) > 0) | (F.col(marks[2]) > 0))
+    """Per line: what stands on it and how much auth / api / crypto stands near it in its file."""
+    counts = line_counts(sites)
+    own = ["n_auth", "n_api", "n_crypto", "n_network"]
+    marked = counts.where((F.col("n_auth") > 0) | (F.col("n_api") > 0) | (F.col("n_crypto") > 0))
     near = lambda column, width: F.sum(
         F.when(F.abs(F.col("line") - F.col("m_line")) < width, F.col(f"m_{column}")).otherwise(0))
-    found = _bands(counts, marked).groupBy(*FILE, "window", "line").agg(
-        near(marks[0], 50).alias("auth_50"), near(marks[1], 50).alias("api_50"),
-        near(marks[0], 10).alias("auth_10"), near(marks[1], 10).alias("api_10"),
-        near(marks[2], 20).alias("crypto_20"),
+    return _bands(counts, marked, "left").groupBy(*FILE, "window", "line").agg(
+        *[F.max(c).alias(c) for c in own],
+        near("n_auth", 50).alias("auth_50"), near("n_api", 50).alias("api_50"),
+        near("n_auth", 10).alias("auth_10"), near("n_api", 10).alias("api_10"),
+        near("n_crypto", 20).alias("crypto_20"),
     ).drop("window")
-    return sites.join(found, [*FILE, "line"], "left").fillna(
-        0, ["auth_50", "api_50", "auth_10", "api_10", "crypto_20"])
-
-
-def _role_count(kind: str, role: str, prefix: str):
-    """Number of assets of a row that can be the given end of a flow kind."""
-    ends = next(k[1:3] for k in code.FLOW_KINDS if k[0] == kind)
-    wanted = ends[0] if role == "src" else ends[1]
-    if wanted == "*":
-        names = [t for t in TYPES if t != "secret"]
-    elif wanted == "+":
-        names, prefix = [t for t in TYPES if t != "cryptography"], "s"
-    else:
-        names = [wanted]
-    return sum((F.col(f"{prefix}_{t}") for t in names[1:]), F.col(f"{prefix}_{names[0]}"))
 
 
 def file_counts(sites: DataFrame) -> DataFrame:
     """Sources and destinations of every kind per file, with the sensitive ones apart."""
     measures = []
     for kind, *_ in code.FLOW_KINDS:
-        for role in ("src", "dst"):
+        for role, test in (("src", is_source(kind)), ("dst", is_destination(kind))):
             name = f"{kind.replace('-', '_')}_{role}"
-            measures.append(F.sum(_role_count(kind, role, "n")).alias(name))
-            measures.append(F.sum(_role_count(kind, role, "s")).alias(f"{name}_s"))
+            measures.append(F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name))
+            if kind in ("api-ext", "db-cache", "api-queue"):
+                measures.append(F.sum(F.when(test & F.col("sensitive"), F.col("n")).otherwise(0)).alias(f"{name}_s"))
     return sites.groupBy(*FILE).agg(*measures)
 
 
@@ -166,7 +141,7 @@ def flow_summary(sites: DataFrame) -> DataFrame:
     products = full.select(*FILE, F.explode(F.array(*cells)).alias("f")).select(*FILE, "f.*")
     banded = (
         neighbourhood(sites).groupBy(*FILE)
-        .agg(F.sum(F.col("n_authentication") * F.col("api_50")).alias("n_flows"))
+        .agg(F.sum(F.col("n_auth") * F.col("api_50")).alias("n_flows"))
         .select(*FILE, F.lit("auth-api").alias("kind"), "n_flows", F.col("n_flows").alias("n_sensitive"))
     )
     return products.unionByName(banded).where(F.col("n_flows") > 0)
