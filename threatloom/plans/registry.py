@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["triage", "assets", "rules"]
+AREAS = ["triage", "assets", "rules", "mapping"]
 
 
 def all_queries() -> dict:
