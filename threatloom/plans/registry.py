@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["triage", "assets", "rules", "mapping"]
+AREAS = ["triage", "assets", "rules", "mapping", "classify"]
 
 
 def all_queries() -> dict:
