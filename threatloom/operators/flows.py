@@ -96,6 +96,30 @@ def neighbourhood(sites: DataFrame) -> DataFrame:
     ).drop("window")
 
 
+def product_ends(sites: DataFrame) -> DataFrame:
+    """Site rows once per flow kind, role and scope they are an end of; the banded kind is left out.
+
+    Flows of a kind are the product of sources and destinations that share a ``scope``: the file, or
+    "*" for the secrets of a repository and the assets of its config files.
+    """
+    config = is_config_file(F.col("file"))
+    ends = []
+    for kind, *_ in code.FLOW_KINDS:
+        if kind == "auth-api":
+            continue
+        end = lambda role, scope: F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), scope.alias("scope"))
+        if kind == "env-svc":
+            ends += [
+                F.when(is_source(kind), end("src", F.lit("*"))),
+                F.when(is_source(kind) & ~config, end("src", F.col("file"))),
+                F.when(is_destination(kind), end("dst", F.when(config, "*").otherwise(F.col("file")))),
+            ]
+        else:
+            ends += [F.when(is_source(kind), end("src", F.col("file"))),
+                     F.when(is_destination(kind), end("dst", F.col("file")))]
+    return sites.withColumn("end", F.explode(F.array_compact(F.array(*ends)))).select("*", "end.*").drop("end")
+
+
 def file_counts(sites: DataFrame) -> DataFrame:
     """Sources and destinations of every kind per file, with the sensitive ones apart."""
     measures = []
