@@ -26,7 +26,7 @@ nd AS MATERIALIZED (SELECT ag.repo_id, ag.node_id, CASE WHEN type = 'api' AND n_
    coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, coalesce(n_with_techniques, 0) AS n_with_techniques, worst_title, worst_stride
    FROM ag LEFT JOIN lc ON lc.repo_id = ag.repo_id AND lc.node_id = ag.node_id LEFT JOIN lw ON lw.repo_id = ag.repo_id AND lw.node_id = ag.node_id)"""
 EDGES = """
-lo AS MATERIALIZED (SELECT repo_id, file, line, min_by(type, ord) || '-' || split_part(file, '/', 1) AS node_id, bool_or(type = 'cryptography') AS enc FROM v_asset GROUP BY ALL),
+lo AS MATERIALIZED (SELECT repo_id, file, line, min_by(type, ord) || '-' || split_part(file, '/', 1) AS node_id, bool_or(type = 'cryptography') AS enc FROM v_asset GROUP BY repo_id, file, line),
 ed AS MATERIALIZED (SELECT f.repo_id, s.node_id AS source, d.node_id AS target, f.data_type, f.kind, f.sensitive, s.enc OR d.enc AS encrypted
   FROM flow f JOIN lo s ON s.repo_id = f.repo_id AND s.file = f.src_file AND s.line = f.src_line JOIN lo d ON d.repo_id = f.repo_id AND d.file = f.dst_file AND d.line = f.dst_line
   QUALIFY row_number() OVER (PARTITION BY f.repo_id, s.node_id, d.node_id ORDER BY kind_rank, src_ord, dst_ord) = 1)"""
