@@ -171,6 +171,12 @@ def flow_summary(sites: DataFrame) -> DataFrame:
     return products.unionByName(banded).where(F.col("n_flows") > 0)
 
 
+def banded_files(sites: DataFrame) -> DataFrame:
+    """Files with at least one flow of the banded kind."""
+    near = neighbourhood(sites).where((F.col("n_auth") > 0) & (F.col("api_50") > 0))
+    return near.select(*FILE).distinct()
+
+
 def flow_endpoints(assets: DataFrame, sites: DataFrame) -> DataFrame:
     """Each asset's part in the flows: kind, role and number of flows it is an end of.
 

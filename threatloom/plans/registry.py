@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["triage", "assets", "rules", "mapping", "classify", "compliance", "graph"]
+AREAS = ["triage", "assets", "rules", "mapping", "classify", "compliance", "graph", "snapshots"]
 
 
 def all_queries() -> dict:

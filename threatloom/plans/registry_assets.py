@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from threatloom.operators import assets as a
 from threatloom.operators import flows as fl
 from threatloom.plans.registry_triage import text
+from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
 
 
@@ -17,7 +18,8 @@ def unique_assets(spark, d):
 
 
 def sites(spark, d):
-    return fl.line_sites(unique_assets(spark, d))
+    """Stage table of the flow work: written once, read by every branch of a query."""
+    return checkpointed(fl.line_sites(unique_assets(spark, d)))
 
 
 def _page_hits(spark, d):

@@ -10,6 +10,7 @@ from threatloom.operators import triage as t
 from threatloom.plans import AS_OF
 from threatloom.plans.registry_assets import sites
 from threatloom.plans.registry_triage import triaged
+from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
 
 
@@ -17,24 +18,32 @@ def head_dependencies(spark, d):
     return v.dependencies(spark, d).where(F.col("scan_id") == "head")
 
 
-def affected(spark, d):
+def stage(spark, d):
+    """Triaged threats and their affected dependencies as stage tables."""
+    threats = checkpointed(triaged(spark, d))
+    return threats, checkpointed(affected(spark, d, threats))
+
+
+def affected(spark, d, threats=None):
     indicators = t.merged_indicators(t.normalize(v.threats(spark, d), AS_OF))
-    return m.affected_dependencies(triaged(spark, d), indicators, head_dependencies(spark, d))
+    return m.affected_dependencies(triaged(spark, d) if threats is None else threats, indicators, head_dependencies(spark, d))
 
 
 def languages(spark, d):
     return v.repositories(spark, d).select("repo_id", "language")
 
 
-def mapped(spark, d):
+def mapped(spark, d, staged=None):
+    threats, hit = stage(spark, d) if staged is None else staged
     counts = m.repository_counts(v.assets(spark, d), fl.flow_summary(sites(spark, d)))
-    return m.map_threats(triaged(spark, d), counts, affected(spark, d))
+    return m.map_threats(threats, counts, hit)
 
 
 def mitigations(spark, d):
-    rows = mapped(spark, d)
+    staged = stage(spark, d)
+    rows = checkpointed(mapped(spark, d, staged))
     return m.code_mitigations(rows, languages(spark, d)).unionByName(
-        m.patch_mitigations(affected(spark, d), rows, languages(spark, d)))
+        m.patch_mitigations(staged[1], rows, languages(spark, d)))
 
 
 def r6(column):
