@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-AREAS = ["triage", "assets", "rules", "mapping", "classify", "compliance", "graph", "snapshots"]
+AREAS = ["triage", "assets", "rules", "mapping", "classify", "compliance", "graph", "snapshots",
+         "repositories"]
 
 
 def all_queries() -> dict:
