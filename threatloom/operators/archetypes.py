@@ -159,7 +159,7 @@ def profiles(signal_rows: DataFrame, repositories: DataFrame) -> DataFrame:
     second = F.transform(F.filter("v", lambda x: (x["arch_type"] != F.col("primary")) & (-x["minus"] >= 0.4)), lambda x: x["arch_type"])
     rows = rows.withColumns({
         "secondary": F.coalesce(second, strings([])),
-        "confidence": F.coalesce(F.least(F.lit(1.0), own / total), F.lit(0.0)),
+        "confidence": F.least(F.lit(1.0), F.coalesce(own / F.nullif(total, F.lit(0.0)), F.lit(0.0))),
     })
     return rows.withColumn("description", describe()).drop("v", "features")
 

@@ -26,10 +26,10 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 
 def normalize(threats: DataFrame, as_of) -> DataFrame:
-    title = F.coalesce(
-        F.nullif("title", F.lit("")),
-        F.nullif(F.substring("description", 1, 100), F.lit("")),
-        F.lit("Untitled Threat"),
+    title = (
+        F.when(F.col("title") != "", F.col("title"))
+        .when(F.col("description") != "", F.substring("description", 1, 100))
+        .otherwise("Untitled Threat")
     )
     return threats.withColumns({
         "title": title,

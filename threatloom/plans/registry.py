@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = ["triage", "assets", "rules", "mapping", "classify", "compliance", "graph", "snapshots",
-         "repositories"]
+         "repositories", "streaming"]
 
 
 def all_queries() -> dict:

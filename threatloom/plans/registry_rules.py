@@ -7,6 +7,7 @@ from threatloom.operators import triage as t
 from threatloom.plans import AS_OF
 from threatloom.plans.registry_assets import sites
 from threatloom.plans.registry_triage import text
+from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
 
 
@@ -18,7 +19,8 @@ def _asset_threats(spark, d):
 
 
 def code_threats_triaged(spark, d):
-    return t.triage(r.code_threats(v.assets(spark, d), sites(spark, d), AS_OF), AS_OF, min_priority=0.3)
+    raw = checkpointed(r.code_threats(v.assets(spark, d), sites(spark, d), AS_OF))
+    return t.triage(raw, AS_OF, min_priority=0.3)
 
 
 QUERIES = {

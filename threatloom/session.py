@@ -25,13 +25,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in reliable shared storage, so that a lost executor costs a re-read only.
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for stage tables and stream state: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A temporary folder is
-    used in local mode alone, where driver and executors share the machine.
+    A temporary folder is used in local mode alone, where driver and executors share the machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,5 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         elif context.master.startswith("local"):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="threatloom-checkpoint-"))
         else:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write a stage table to reliable storage and go on from there, so that a lost executor costs a
+    re-read only."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
