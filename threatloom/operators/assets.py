@@ -73,9 +73,11 @@ def detect_assets(lines: DataFrame) -> DataFrame:
     At most one asset per family and line, plus one per KEY=value line of an environment file.
     ``ord`` must order the lines of a repository; the result's ``ord`` orders its assets.
     """
-    line, low, text = F.col("line"), F.lower("line"), trimmed(F.col("line"))
+    # Columns of their own: every pattern test reads them, so they are made once per line.
+    lines = lines.withColumns({"_low": F.lower("line"), "_text": trimmed(F.col("line"))}).withColumn(
+        "_scanned", (F.col("_text") != "") & ~F.col("_text").startswith("//") & ~F.col("_text").startswith("#"))
+    line, low, text, scanned = F.col("line"), F.col("_low"), F.col("_text"), F.col("_scanned")
     yes, no = F.lit(True), F.lit(False)
-    scanned = is_code_line(line)
 
     def name_of(family: str) -> Column:
         words = [p.lower() for p in code.PATTERNS[family]]
@@ -89,7 +91,7 @@ def detect_assets(lines: DataFrame) -> DataFrame:
 
     def sensitive(family: str) -> Column:
         if family in ("api", "extapi"):
-            return is_sensitive_line(line)
+            return any_of(low, code.SENSITIVE_WORDS)
         if family == "file":
             return low.contains("upload") | low.contains("write")
         return no if family in ("queue", "cache") else yes

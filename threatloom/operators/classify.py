@@ -30,7 +30,7 @@ def flag(column: Column | None, weight: float, wanted: bool = True) -> Column:
     return F.when(column if wanted else ~column, weight).otherwise(0.0)
 
 
-def stride_raw(text: Column, cwe_ids: Column | None = None, tactics: Column | None = None,
+def stride_raw(lowered: Column, cwe_ids: Column | None = None, tactics: Column | None = None,
                context: dict[str, Column] | None = None) -> Column:
     """Unscaled category scores in catalogue order."""
     context = context or {}
@@ -41,7 +41,6 @@ def stride_raw(text: Column, cwe_ids: Column | None = None, tactics: Column | No
         "D": flag(context.get("affects_availability"), 0.6),
         "E": flag(context.get("privilege_escalation"), 0.8),
     }
-    lowered = F.lower(text)
     out = []
     for code in stride.CODES:
         tactic = F.lit(0.0)
@@ -76,11 +75,10 @@ def architecture_score(flags: dict[str, Column], deployment: Column | None, laye
     return F.least(F.lit(1.0), total)
 
 
-def maestro_raw(text: Column, technologies: Column, flags: dict[str, Column], deployment: Column | None = None,
+def maestro_raw(lowered: Column, technologies: Column, flags: dict[str, Column], deployment: Column | None = None,
                 cwe_ids: Column | None = None, context: dict[str, Column] | None = None) -> Column:
     """Unscaled layer scores in catalogue order."""
     context = context or {}
-    lowered = F.lower(text)
     out = []
     for code in maestro.CODES:
         marks = F.lit(0.0)
@@ -118,14 +116,18 @@ def with_profile(rows: DataFrame, raw: Column, codes: list[str], default: str, p
 
 def classify_stride(rows: DataFrame, text: Column, cwe_ids: Column | None = None, tactics: Column | None = None,
                     context: dict[str, Column] | None = None) -> DataFrame:
-    return with_profile(rows, stride_raw(text, cwe_ids, tactics, context), stride.CODES, "I", "stride")
+    # The lowered text is a column of its own: a hundred keyword tests read it.
+    rows = rows.withColumn("_low", F.lower(text))
+    raw = stride_raw(F.col("_low"), cwe_ids, tactics, context)
+    return with_profile(rows, raw, stride.CODES, "I", "stride").drop("_low")
 
 
 def classify_maestro(rows: DataFrame, text: Column, technologies: Column, flags: dict[str, Column],
                      deployment: Column | None = None, cwe_ids: Column | None = None,
                      context: dict[str, Column] | None = None) -> DataFrame:
-    raw = maestro_raw(text, technologies, flags, deployment, cwe_ids, context)
-    profiled = with_profile(rows, raw, maestro.CODES, "1-Foundation", "maestro")
+    rows = rows.withColumn("_low", F.lower(text))
+    raw = maestro_raw(F.col("_low"), technologies, flags, deployment, cwe_ids, context)
+    profiled = with_profile(rows, raw, maestro.CODES, "1-Foundation", "maestro").drop("_low")
     return profiled.withColumn("maestro_threats", identified_threats(
         text, F.col("maestro_primary"), F.col("maestro_secondary")))
 

@@ -45,8 +45,8 @@ def by_weakness(cwes: Column, strict: bool = False) -> Column:
     return F.flatten(F.transform(cwes, of_one))
 
 
-def by_keyword(text: Column) -> Column:
-    low = F.lower(text)
+def by_keyword(low: Column) -> Column:
+    """Phrases in lower-case text."""
     return F.concat(*[_when(any_of(low, words), _rows(entries)) for words, entries in pci.BY_KEYWORD])
 
 
@@ -76,10 +76,10 @@ def map_requirements(threats: DataFrame, strict: bool = False) -> DataFrame:
 
     All four signals are weighed inside the row, so the whole mapping is one narrow stage.
     """
-    text = F.concat("title", F.lit(" "), "description")
-    all_rows = F.concat(by_category(F.col("stride_primary")), by_weakness(F.col("cwes"), strict), by_keyword(text),
-                        by_rule_id(F.col("rule_ids")))
-    listed = threats.withColumn("_all", all_rows)
+    all_rows = F.concat(by_category(F.col("stride_primary")), by_weakness(F.col("cwes"), strict),
+                        by_keyword(F.col("_low")), by_rule_id(F.col("rule_ids")))
+    lowered = threats.withColumn("_low", F.lower(F.concat("title", F.lit(" "), "description")))
+    listed = lowered.withColumn("_all", all_rows)
     return (
         listed.withColumn("_m", F.explode(merged(F.col("_all")))).drop("_all")
         .select(*threats.columns, F.split_part("_m.sub_id", F.lit("."), F.lit(1)).alias("req_id"), "_m.sub_id",

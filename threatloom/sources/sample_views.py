@@ -161,13 +161,24 @@ BASES = {
 }
 
 
-def sql_for_spark(name: str, sf_dir: str) -> str:
+def sql_for_spark(spark: SparkSession, name: str, sf_dir: str) -> str:
     text = BASES[name]
     for table in ("lineitem", "events", "part", "supplier"):
-        text = text.replace(f"@{table}", f"parquet.`{sf_dir}/{table}.parquet`")
+        if f"@{table}" in text:
+            text = text.replace(f"@{table}", spread(spark, f"{sf_dir}/{table}.parquet"))
     return text
 
 
+def spread(spark: SparkSession, path: str) -> str:
+    """FROM item of a table.  A table of fewer files than cores (the samples are one file with one row
+    group) is dealt out first, or a single task would do all narrow work; large tables are read as
+    they are."""
+    cores = spark.sparkContext.defaultParallelism
+    if len(spark.read.parquet(path).inputFiles()) >= cores:
+        return f"parquet.`{path}`"
+    return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`)"
+
+
 def sql_for_check(name: str) -> str:
     """The same SELECT over the pre-registered views, for the SQL check."""
     text = BASES[name].replace("AS STRING", "AS VARCHAR")
@@ -182,7 +193,7 @@ def _items(column: str, separator: str = ","):
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(sql_for_spark("asset", sf_dir)).withColumn("tags", _items("tags"))
+    return spark.sql(sql_for_spark(spark, "asset", sf_dir)).withColumn("tags", _items("tags"))
 
 
 def asset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,11 +210,11 @@ def asset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(sql_for_spark("code_line", sf_dir))
+    return spark.sql(sql_for_spark(spark, "code_line", sf_dir))
 
 
 def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.sql(sql_for_spark("threat", sf_dir))
+    flat = spark.sql(sql_for_spark(spark, "threat", sf_dir))
     has_second = F.col("stride_second").isNotNull()
     scores = F.when(
         has_second,
@@ -229,13 +240,13 @@ def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.sql(sql_for_spark("finding", sf_dir))
+    flat = spark.sql(sql_for_spark(spark, "finding", sf_dir))
     return flat.withColumn("cwe", _items("cwe")).withColumn("vulnerability_class", _items("vulnerability_class"))
 
 
 def cves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CVE records in the nested feed shape."""
-    flat = spark.sql(sql_for_spark("cve", sf_dir))
+    flat = spark.sql(sql_for_spark(spark, "cve", sf_dir))
     text = lambda lang, value: F.struct(F.lit(lang).alias("lang"), value.alias("value"))
     weakness = lambda value: F.struct(F.array(text("en", value)).alias("description"))
     return flat.select(
@@ -264,15 +275,15 @@ def cves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(sql_for_spark("dependency", sf_dir))
+    return spark.sql(sql_for_spark(spark, "dependency", sf_dir))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(sql_for_spark("file", sf_dir))
+    return spark.sql(sql_for_spark(spark, "file", sf_dir))
 
 
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.sql(sql_for_spark("repository", sf_dir))
+    flat = spark.sql(sql_for_spark(spark, "repository", sf_dir))
     return flat.withColumn("technologies", _items("technologies")).withColumn(
         "cwe_ids", F.transform(_items("cwe_ids"), lambda c: c.cast("int"))
     )
