@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threatloom.llm import neardup
+from threatloom.llm import mixing, neardup, packing, quality
 from threatloom.llm.common import table
 
 
@@ -14,8 +15,27 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), length=1024)
+    return pieces.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = quality.features_of(table(spark, sf_dir, "documents"))
+    return quality.score(features, quality.train(features, table(spark, sf_dir, "labels")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_packing": op3_packing,
+    "op5_quality_discriminant": op5_quality_discriminant,
+    "op9_mixing": op9_mixing,
 }
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,4 +60,26 @@ r(doc_id, other) AS (
 m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
 FROM w JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op9_mixing": f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0) AS size,
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
+r AS (
+  SELECT *, source_size * 3.0::DOUBLE / weight AS ratio, sum(source_size) OVER ()::DOUBLE AS total FROM k),
+f AS (
+  SELECT *, coalesce(sum(source_size * 3) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
+    (sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS free FROM r),
+v AS (SELECT max((total - capped) / free) FILTER (WHERE (total - capped) / free <= ratio) AS level FROM f),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(source_size * 3.0::DOUBLE, coalesce(level, 'inf'::DOUBLE) * weight) END AS target FROM k, v),
+w AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS whole FROM t),
+g AS (SELECT source, draw, sum(size)::BIGINT AS own FROM d GROUP BY source, draw),
+c AS (SELECT *, sum(own) OVER (PARTITION BY source ORDER BY draw) - own AS before FROM g),
+x AS (
+  SELECT c.source, max(draw) AS cutoff FROM c JOIN w ON w.source IS NOT DISTINCT FROM c.source
+  WHERE own > 0 AND before + own / 2.0::DOUBLE <= target - whole * source_size AND before < target - whole * source_size GROUP BY c.source)
+SELECT d.doc_id, d.size, w.source_size, w.target,
+  ((w.whole + CASE WHEN d.draw <= x.cutoff THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM d.source""",
 }
