@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import mixing, neardup, packing, quality
+from threatloom.llm import media, mixing, neardup, packing, pii, quality
 from threatloom.llm.common import table
 
 
@@ -27,6 +27,23 @@ def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(features, quality.train(features, table(spark, sf_dir, "labels")))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.transform(F.array_sort(F.map_entries("pii_found")), lambda e: F.concat_ws(":", e.key, e.value.cast("string")))
+    return docs.select("doc_id", "text", F.aggregate(F.map_values("pii_found"), F.lit(0), lambda a, x: a + x).alias("n_found"), F.concat_ws(",", named).alias("kinds"))
+
+
+def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), media.stored(F.col("text")).alias("media"))
+    read = held.select("doc_id", "n_bytes", "media", media.features(F.col("media")).alias("f"))
+    codes = F.transform("f.pairs", lambda p: F.hex(p))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("f.payload").cast("bigint").alias("payload_bytes"), F.sha2("f.payload", 256).alias("payload_sha256"),
+        F.col("f.tail_crc32").alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("f.pairs").cast("string"), F.sha2(F.concat_ws(",", codes), 256)).alias("feature"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_packing": op3_packing,
     "op5_quality_discriminant": op5_quality_discriminant,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op8_media_fingerprints": op8_media_fingerprints,
     "op9_mixing": op9_mixing,
 }
 
