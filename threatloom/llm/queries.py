@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import media, mixing, neardup, packing, pii, quality
+from threatloom.llm import chat, media, mixing, neardup, packing, pii, quality, tokencount
 from threatloom.llm.common import table
 
 
@@ -15,6 +15,20 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    done = chat.formatted(talks.unionByName(tricky))
+    back = done.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+                       chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), length=1024)
     return pieces.select(
@@ -48,13 +62,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencount.section_tokens(table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
+    return tokencount.exploded(counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_media_fingerprints": op8_media_fingerprints,
     "op9_mixing": op9_mixing,
+    "op10_section_tokens": op10_section_tokens,
 }
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,4 +122,19 @@ x AS (
 SELECT d.doc_id, d.size, w.source_size, w.target,
   ((w.whole + CASE WHEN d.draw <= x.cutoff THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
 FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM d.source""",
+    "op2_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (
+  SELECT *, lag(role) OVER w AS role_before,
+    regexp_replace(role, '<(\\*)\|(turn|says|and|end)\|>', '<\\\1|\2|>', 'g') AS role_escaped,
+    regexp_replace(text, '<(\\*)\|(turn|says|and|end)\|>', '<\\\1|\2|>', 'g') AS text_escaped
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(text_escaped) + CASE WHEN role_before = role THEN 7 ELSE 8 + 8 + 7 + length(role_escaped) END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
