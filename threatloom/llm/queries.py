@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, media, mixing, neardup, packing, pii, quality, tokencount
+from threatloom.llm import ann, chat, media, mixing, neardup, packing, pii, quality, tokencount
 from threatloom.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = quality.features_of(table(spark, sf_dir, "documents"))
     return quality.score(features, quality.train(features, table(spark, sf_dir, "labels")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
+    "op4_cross_polytope": op4_cross_polytope,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_media_fingerprints": op8_media_fingerprints,
