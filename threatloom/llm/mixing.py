@@ -29,7 +29,8 @@ def draw_key(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _keyed(df: DataFrame, source: str) -> DataFrame:
+def keyed(df: DataFrame, source: str) -> DataFrame:
+    """Adds the source as two columns that are never null."""
     return df.withColumn("no_source", F.col(source).isNull()).withColumn("source_key", F.coalesce(F.col(source).cast("string"), F.lit("")))
 
 
@@ -95,7 +96,7 @@ def source_plan(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs
 
 def with_copies(rows: DataFrame, plan: DataFrame, source_col: str, draw: Column) -> DataFrame:
     """``rows`` with ``source_size, target, copies``; joined in shares, so a hot source is no hot task."""
-    wide = _keyed(rows.withColumn("_draw", draw), source_col)
+    wide = keyed(rows.withColumn("_draw", draw), source_col)
     joined = salted_join(wide, plan, _KEYS, ["_draw"])
     extra = F.coalesce(F.col("_draw") <= F.col("cutoff"), F.lit(False)).cast("int")
     return joined.withColumn("copies", F.col("whole") + extra).drop("_draw", "cutoff", "whole", *_KEYS)
@@ -113,5 +114,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_of(F.col(text_col)).alias("size"))
     sized = stage(base)
     draw = draw_key(F.col("doc_id"), seed)
-    plan = source_plan(_keyed(sized, "source").withColumn("draw", draw), weights, max_epochs)
+    plan = source_plan(keyed(sized, "source").withColumn("draw", draw), weights, max_epochs)
     return with_copies(sized, plan, "source", draw).withColumn("taken", F.col("copies") * F.col("size"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import ann, chat, media, mixing, neardup, packing, pii, quality, tokencount
+from threatloom.llm import ann, chat, licenses, media, mixing, neardup, packing, pii, quality, tokencount
 from threatloom.llm.common import table
 
 
@@ -52,6 +52,17 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.aggregate(F.map_values("pii_found"), F.lit(0), lambda a, x: a + x).alias("n_found"), F.concat_ws(",", named).alias("kinds"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree by source, language and shelf; two in forty are licence files of a language or a source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("xx")).alias("lang"))
+    number = F.col("doc_id").cast("string")
+    path = (
+        F.when(F.col("doc_id") % 40 == 7, F.concat_ws("/", "source", "lang", F.concat(F.lit("LICENSE-"), number)))
+        .when(F.col("doc_id") % 40 == 17, F.concat_ws("/", "source", F.concat(F.lit("COPYING-"), number)))
+        .otherwise(F.concat_ws("/", "source", "lang", F.concat(F.lit("shelf"), (F.col("doc_id") % 10).cast("string")), F.concat(number, F.lit(".txt")))))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path"))).withColumnRenamed("key", "doc_id")
+
+
 def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), media.stored(F.col("text")).alias("media"))
@@ -79,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cross_polytope": op4_cross_polytope,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_license_scan": op7_license_scan,
     "op8_media_fingerprints": op8_media_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_section_tokens": op10_section_tokens,
