@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threatloom.session import work_folder
@@ -152,27 +152,20 @@ def word_counts(texts: pa.Array) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``links(a, b)``, as ``(node, label)``.
 
-    Roots hook onto their smallest neighbour, chains of hooks are shortened by pointer jumping, and the links are
-    contracted to links between roots, all by joins; nothing is gathered per component.
+    Labels spread to neighbours as minima, and every label is replaced by the label of the node it names, which shortens
+    chains by half per round.  All by joins and aggregates; nothing is gathered per component.
     """
-    ends = F.explode(F.array("a", "b")).alias("node")
-    labels = stage(links.select(ends).distinct().select("node", F.col("node").alias("label")))
-    open_links = stage(links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
-    while not open_links.isEmpty():
-        hooks = stage(open_links.groupBy("high").agg(F.min("low").alias("to")))
-        while True:
-            up = hooks.select(F.col("high").alias("to"), F.col("to").alias("next"))
-            hooks = stage(hooks.join(up, "to", "left").select("high", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
-            if hooks.where("moved").isEmpty():
-                break
-            hooks = hooks.drop("moved")
-        hooks = hooks.select("high", "to")
-        labels = stage(labels.join(hooks, labels.label == hooks.high, "left").select("node", F.coalesce("to", "label").alias("label")))
-
-        def lifted(df: DataFrame, name: str, hooks: DataFrame = hooks) -> DataFrame:
-            to = hooks.select(F.col("high").alias(name), F.col("to").alias("root"))
-            return df.join(to, name, "left").withColumn(name, F.coalesce("root", name)).drop("root")
-
-        open_links = lifted(lifted(open_links, "low"), "high")
-        open_links = stage(open_links.where("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct())
-    return labels
+    both = stage(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct().toDF("node", "next"))
+    labels = stage(both.groupBy("node").agg(F.min("next").alias("low")).select("node", F.least("node", "low").alias("label")))
+    while True:
+        far = labels.select(F.col("node").alias("next"), "label")
+        spread = both.join(far, "next").select("node", "label", F.lit(None).cast("bigint").alias("old"))
+        nearest = labels.select("node", "label", F.col("label").alias("old")).union(spread).groupBy("node").agg(
+            F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        moved = Observation()
+        labels = stage(
+            nearest.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label"), "old")
+            .observe(moved, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("rows"))).select("node", "label")
+        if not moved.get["rows"]:
+            return labels
