@@ -34,7 +34,7 @@ def attribute(spans: np.ndarray, edges: np.ndarray, rule: str = "most") -> np.nd
     section is its own.  A token across a boundary goes to the section of its first byte (``first``), or to the one that
     holds most of its bytes, the earlier on a tie (``most``).  Every token is counted once.
     """
-    starts = np.append(0, spans[:-1])
+    starts = np.append(0, spans)[:-1]
     first = np.searchsorted(edges, starts, "right")
     owner = first.copy()
     if rule == "most":
