@@ -15,17 +15,6 @@ FULL_NAMES = {
     "7-Ecosystem": "Ecosystem & Governance Layer",
 }
 
-# Guiding questions.
-QUESTIONS = {
-    "1-Foundation": "Is the model itself vulnerable?",
-    "2-DataKnowledge": "Can the knowledge base be manipulated?",
-    "3-Frameworks": "Is the agent framework secure?",
-    "4-Tooling": "Are the tools and integrations safe?",
-    "5-Communication": "Can agents be trusted to talk to each other?",
-    "6-Deployment": "Is the deployment environment secure?",
-    "7-Ecosystem": "Are we compliant and accountable?",
-}
-
 # Named threats per layer.
 THREATS = {
     "1-Foundation": [

@@ -16,85 +16,78 @@ REQUIREMENTS = [
     ("12", "Support Information Security with Organizational Policies and Programs", "Policy"),
 ]
 
-# Sub-requirement id and description; "-" marks the ones not relevant to code.
-# The requirement is the part before the first dot.
-SUB_REQUIREMENT_ROWS = """
-1.2.7|Configuration files for network security controls are secured from unauthorized access
-1.4.2|Inbound traffic from untrusted networks to trusted networks is restricted
-2.2.2|Vendor default accounts are managed
-2.2.4|Only necessary services, protocols, and ports are enabled
-2.2.7|All non-console administrative access is encrypted using strong cryptography
-3.2.1|Account data storage is kept to a minimum through implementation of data retention and disposal policies
-3.3.1|Sensitive authentication data (SAD) is not retained after authorization
-3.3.2|Sensitive authentication data is not stored after authorization, even if encrypted
-3.3.3|The card verification code (CAV2/CVC2/CVV2/CID) is not stored after authorization
-3.5.1|Primary account number (PAN) is secured wherever it is stored
-3.6.1|Procedures for protecting cryptographic keys are defined and implemented
-3.7.1|Access to cleartext cryptographic key components is restricted to the fewest number of custodians necessary
-4.2.1|Strong cryptography and security protocols are implemented to safeguard PAN during transmission
-4.2.1.1|An inventory of trusted keys and certificates is maintained
-4.2.1.2|Wireless networks transmitting cardholder data or connected to the CDE use strong cryptography
--5.2.1|Anti-malware mechanisms are configured to perform periodic scans and active/real-time scans
--5.3.2|Anti-malware mechanisms and definitions are kept current
-6.2.2|Bespoke and custom software is reviewed prior to being released to production
-6.2.3|Pre-production environments are separated from production environments
-6.2.4|Software engineering techniques are applied to prevent or mitigate common software attacks and vulnerabilities
-6.3.1|Security vulnerabilities are identified and addressed
-6.3.2|An inventory of bespoke and custom software is maintained
-6.3.3|All system components are protected from known vulnerabilities by installing applicable security patches
-6.4.1|Public-facing web applications are protected against attacks
-6.4.2|Payment page scripts are managed to ensure security of the transaction
-6.5.1|Change control processes are implemented
-7.2.1|An access control model is defined and implemented
-7.2.2|Access to system components and data is assigned based on individuals' job functions
-7.2.4|All user access is reviewed periodically
-7.2.5|All application and system accounts and related access privileges are assigned and managed
-7.2.6|All user account access to query repositories of stored cardholder data is restricted
-7.3.1|Access to system components and data is managed via an access control system(s)
-8.2.1|Strong authentication for users and administrators is established and managed
-8.2.2|Strong authentication for service providers with remote access is managed
-8.3.1|Multi-factor authentication (MFA) is implemented for all access into the CDE
-8.3.2|MFA is implemented for all access to the CDE
-8.3.6|Authentication mechanisms are independent of one another
-8.3.9|Access to application and system accounts is managed
-8.4.2|MFA is implemented for all access to system components
-8.5.1|MFA systems are configured to prevent misuse
-8.6.1|If passwords are used, complexity and strength requirements are implemented
-8.6.2|If passwords are used, minimum password length is established
-8.6.3|If passwords are used, password history is maintained
--9.1.2|Physical access controls are in place to restrict access to cardholder data
-10.2.1|Audit logs capture all individual user access to cardholder data
-10.2.1.1|Audit log entries are generated for all access to cardholder data
-10.2.1.2|Audit log entries are generated for all actions by individuals with administrative access
-10.2.1.3|Audit log entries are generated for all access to audit logs
-10.2.1.4|Audit log entries are generated for all invalid logical access attempts
-10.2.1.5|Audit log entries are generated for all changes to identification and authentication credentials
-10.2.1.6|Audit log entries are generated for all initialization of audit logs
-10.2.2|Audit logs are implemented to support anomaly detection
-10.3.1|Audit log entries contain sufficient detail to reconstruct events
-10.3.2|User identity is captured in audit logs
-10.4.1|A log review is performed for all system components
-10.4.2|Logs for critical security control systems are reviewed frequently
-11.3.1|External vulnerability scans are performed
-11.3.2|Internal vulnerability scans are performed
-11.4.1|Penetration testing is performed
-11.5.1|Network intrusions and unexpected file changes are detected
-11.6.1|Unauthorized changes on payment pages are detected and responded to
--12.3.1|Personnel are trained in security awareness
--12.6.1|Security awareness training is provided to all personnel
--12.6.3|Personnel acknowledge they have read and understood the information security policy
-"""
+# Sub-requirement id, its text, and whether code analysis can tell about it.
+SUB_REQUIREMENTS = [
+    ("1.2.7", "Configuration files for network security controls are secured from unauthorized access", True),
+    ("1.4.2", "Inbound traffic from untrusted networks to trusted networks is restricted", True),
+    ("2.2.2", "Vendor default accounts are managed", True),
+    ("2.2.4", "Only necessary services, protocols, and ports are enabled", True),
+    ("2.2.7", "All non-console administrative access is encrypted using strong cryptography", True),
+    ("3.2.1", "Account data storage is kept to a minimum through implementation of data retention and disposal policies", True),
+    ("3.3.1", "Sensitive authentication data (SAD) is not retained after authorization", True),
+    ("3.3.2", "Sensitive authentication data is not stored after authorization, even if encrypted", True),
+    ("3.3.3", "The card verification code (CAV2/CVC2/CVV2/CID) is not stored after authorization", True),
+    ("3.5.1", "Primary account number (PAN) is secured wherever it is stored", True),
+    ("3.6.1", "Procedures for protecting cryptographic keys are defined and implemented", True),
+    ("3.7.1", "Access to cleartext cryptographic key components is restricted to the fewest number of custodians necessary", True),
+    ("4.2.1", "Strong cryptography and security protocols are implemented to safeguard PAN during transmission", True),
+    ("4.2.1.1", "An inventory of trusted keys and certificates is maintained", True),
+    ("4.2.1.2", "Wireless networks transmitting cardholder data or connected to the CDE use strong cryptography", True),
+    ("5.2.1", "Anti-malware mechanisms are configured to perform periodic scans and active/real-time scans", False),
+    ("5.3.2", "Anti-malware mechanisms and definitions are kept current", False),
+    ("6.2.2", "Bespoke and custom software is reviewed prior to being released to production", True),
+    ("6.2.3", "Pre-production environments are separated from production environments", True),
+    ("6.2.4", "Software engineering techniques are applied to prevent or mitigate common software attacks and vulnerabilities", True),
+    ("6.3.1", "Security vulnerabilities are identified and addressed", True),
+    ("6.3.2", "An inventory of bespoke and custom software is maintained", True),
+    ("6.3.3", "All system components are protected from known vulnerabilities by installing applicable security patches", True),
+    ("6.4.1", "Public-facing web applications are protected against attacks", True),
+    ("6.4.2", "Payment page scripts are managed to ensure security of the transaction", True),
+    ("6.5.1", "Change control processes are implemented", True),
+    ("7.2.1", "An access control model is defined and implemented", True),
+    ("7.2.2", "Access to system components and data is assigned based on individuals' job functions", True),
+    ("7.2.4", "All user access is reviewed periodically", True),
+    ("7.2.5", "All application and system accounts and related access privileges are assigned and managed", True),
+    ("7.2.6", "All user account access to query repositories of stored cardholder data is restricted", True),
+    ("7.3.1", "Access to system components and data is managed via an access control system(s)", True),
+    ("8.2.1", "Strong authentication for users and administrators is established and managed", True),
+    ("8.2.2", "Strong authentication for service providers with remote access is managed", True),
+    ("8.3.1", "Multi-factor authentication (MFA) is implemented for all access into the CDE", True),
+    ("8.3.2", "MFA is implemented for all access to the CDE", True),
+    ("8.3.6", "Authentication mechanisms are independent of one another", True),
+    ("8.3.9", "Access to application and system accounts is managed", True),
+    ("8.4.2", "MFA is implemented for all access to system components", True),
+    ("8.5.1", "MFA systems are configured to prevent misuse", True),
+    ("8.6.1", "If passwords are used, complexity and strength requirements are implemented", True),
+    ("8.6.2", "If passwords are used, minimum password length is established", True),
+    ("8.6.3", "If passwords are used, password history is maintained", True),
+    ("9.1.2", "Physical access controls are in place to restrict access to cardholder data", False),
+    ("10.2.1", "Audit logs capture all individual user access to cardholder data", True),
+    ("10.2.1.1", "Audit log entries are generated for all access to cardholder data", True),
+    ("10.2.1.2", "Audit log entries are generated for all actions by individuals with administrative access", True),
+    ("10.2.1.3", "Audit log entries are generated for all access to audit logs", True),
+    ("10.2.1.4", "Audit log entries are generated for all invalid logical access attempts", True),
+    ("10.2.1.5", "Audit log entries are generated for all changes to identification and authentication credentials", True),
+    ("10.2.1.6", "Audit log entries are generated for all initialization of audit logs", True),
+    ("10.2.2", "Audit logs are implemented to support anomaly detection", True),
+    ("10.3.1", "Audit log entries contain sufficient detail to reconstruct events", True),
+    ("10.3.2", "User identity is captured in audit logs", True),
+    ("10.4.1", "A log review is performed for all system components", True),
+    ("10.4.2", "Logs for critical security control systems are reviewed frequently", True),
+    ("11.3.1", "External vulnerability scans are performed", True),
+    ("11.3.2", "Internal vulnerability scans are performed", True),
+    ("11.4.1", "Penetration testing is performed", True),
+    ("11.5.1", "Network intrusions and unexpected file changes are detected", True),
+    ("11.6.1", "Unauthorized changes on payment pages are detected and responded to", True),
+    ("12.3.1", "Personnel are trained in security awareness", False),
+    ("12.6.1", "Security awareness training is provided to all personnel", False),
+    ("12.6.3", "Personnel acknowledge they have read and understood the information security policy", False),
+]
 
 
 def sub_requirements() -> list[dict]:
-    rows = []
-    for line in SUB_REQUIREMENT_ROWS.strip().splitlines():
-        ident, description = line.split("|")
-        relevant = not ident.startswith("-")
-        ident = ident.lstrip("-")
-        rows.append({"req_id": ident.split(".")[0], "sub_id": ident, "description": description,
-                     "relevant": relevant})
-    return rows
+    return [{"req_id": sub_id.split(".")[0], "sub_id": sub_id, "description": text, "relevant": relevant}
+            for sub_id, text, relevant in SUB_REQUIREMENTS]
 
 
 # Remediation text per sub-requirement.

@@ -66,26 +66,6 @@ TACTICS = {
     "TA0007": "L", "TA0008": "L", "TA0009": "I", "TA0010": "I", "TA0011": "M", "TA0040": "D",
 }
 
-# Detection strategies.
-DETECTION = {
-    "S": ["Monitor authentication failures and anomalies", "Track credential usage patterns",
-          "Validate token integrity and issuance", "Correlate identity across systems"],
-    "T": ["Implement integrity checks and signatures", "Monitor for unexpected code/data changes",
-          "Verify supply chain provenance", "Use runtime application self-protection"],
-    "R": ["Ensure centralized, immutable logging", "Monitor for log deletion or manipulation",
-          "Implement clock synchronization", "Create audit trails for critical actions"],
-    "I": ["Monitor outbound data transfers", "Implement DLP and secrets detection",
-          "Track access to sensitive resources", "Alert on misconfiguration exposures"],
-    "D": ["Monitor resource utilization trends", "Implement rate limiting and quotas",
-          "Track request patterns for anomalies", "Alert on service degradation"],
-    "E": ["Monitor privilege escalation attempts", "Track use of administrative privileges",
-          "Alert on unexpected process behavior", "Implement least privilege enforcement"],
-    "L": ["Monitor lateral network movements", "Track credential reuse across systems",
-          "Alert on unusual access patterns", "Implement micro-segmentation"],
-    "M": ["Deploy endpoint detection and response", "Monitor for persistence mechanisms",
-          "Track C2 communication patterns", "Implement behavioral analysis"],
-}
-
 # The detection rules written by enrichment; only Spoofing has any.
 ENRICHMENT_RULES = {
     "S": ["Monitor authentication failures", "Track credential usage patterns", "Validate token integrity"],
