@@ -5,10 +5,11 @@ EV = """ev AS (SELECT 'repo-' || user_id AS repo_id, event_id AS ord, 'title:' |
   CASE WHEN value >= 80 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS severity, ts FROM events)"""
 
 SQL = {
-    "stream_severity_windows": "WITH " + EV + " SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, severity, count(*) AS n FROM ev WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY ALL",
+    "stream_severity_windows": "WITH " + EV + " SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, severity, count(*) AS n FROM ev GROUP BY ALL",
     "stream_first_sightings": "WITH " + EV + " SELECT DISTINCT repo_id, dedup_key FROM ev",
     "stream_merged": "WITH " + EV + " SELECT repo_id, dedup_key, 'threat-' || min(ord) AS id, count(*) AS instances FROM ev GROUP BY ALL",
-    "intake_log": ask("finding", "SELECT severity AS source, count(*) AS n_records, count(*) FILTER (WHERE NOT regexp_matches(error_type, '^\\[[0-9]')) AS n_errors, min(error_type) FILTER (WHERE NOT regexp_matches(error_type, '^\\[[0-9]')) AS sample_error FROM v_finding WHERE error_type IS NOT NULL GROUP BY severity"),
+    "intake_log": ask("finding", "SELECT severity AS source, count(*) AS n_records, count(*) FILTER (WHERE NOT regexp_matches(error_type, '^\\[[0-9]')) AS n_errors FROM v_finding GROUP BY severity"),
+    "intake_bad_records": ask("finding", "SELECT severity AS source, error_type AS record FROM v_finding WHERE NOT regexp_matches(error_type, '^\\[[0-9]')"),
     "technique_sets": ask("threat", ST + " SELECT DISTINCT repo_id, technique_id FROM v_threat JOIN st ON st.code = stride_primary"),
     "threats_still_fresh": ask("threat", f"SELECT repo_id, ord FROM v_threat WHERE discovered_at >= {AS_OF} - INTERVAL 20 DAY"),
 }

@@ -15,7 +15,8 @@ from threatloom.streaming import intake as st
 def event_stream(spark, d):
     """The events table as a file stream, shaped as findings."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    rows = st.read_stream(spark, d, schema, "events.parquet")
+    # A glob finds the table as one file and as a folder of files.
+    rows = st.read_stream(spark, f"{d}/[e]vents.parquet", schema)
     k = F.get_json_object("props", "$.k").cast("bigint")
     severity = F.when(F.col("value") >= 80, "high").when(F.col("value") >= 40, "medium").otherwise("low")
     none = F.array().cast("array<string>")
@@ -36,21 +37,27 @@ def run(spark, stream, mode="append"):
 
 def merged(spark, d):
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    writer = event_stream(spark, d).writeStream.foreachBatch(st.merge_into(f"{folder}/merged", spark, 8))
+    writer = event_stream(spark, d).writeStream.foreachBatch(st.merge_into(f"{folder}/merged", spark))
     query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{folder}/merged/version={last}")
+    return st.newest_version(spark, f"{folder}/merged")
+
+
+def windows(spark, d):
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = st.severity_windows(event_stream(spark, d))
+    st.start_updates(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return st.latest(spark, f"{folder}/out", "window_start timestamp, severity string, n bigint", ["window_start", "severity"])
 
 
 QUERIES = {
-    "stream_severity_windows": lambda s, d: run(s, st.severity_windows(event_stream(s, d))).select(
+    "stream_severity_windows": lambda s, d: windows(s, d).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "n"),
     "stream_first_sightings": lambda s, d: run(s, st.first_sightings(event_stream(s, d), "40 days")).select(
         "repo_id", "dedup_key"),
     "stream_merged": lambda s, d: merged(s, d).select("repo_id", "dedup_key", "first.id", "instances"),
-    "intake_log": lambda s, d: fs.intake_log(
-        v.findings(s, d).where(F.col("error_type").isNotNull()), "severity", "error_type", "array<int>"),
+    "intake_log": lambda s, d: fs.intake_log(v.findings(s, d), "severity", "error_type", "array<int>"),
+    "intake_bad_records": lambda s, d: fs.bad_records(v.findings(s, d), "severity", "error_type", "array<int>"),
     "technique_sets": lambda s, d: te.with_technique_ids(v.threats(s, d)).select(
         "repo_id", F.explode("mitre_ids").alias("technique_id")).distinct(),
     "threats_still_fresh": lambda s, d: st.still_fresh(v.threats(s, d), AS_OF, 20).select("repo_id", "ord"),
