@@ -77,7 +77,7 @@ code_triaged AS MATERIALIZED (
     CAST(0.3 * CASE severity WHEN 'high' THEN 7 ELSE 5 END / 10.0 + 0.4 * (0.05 + CASE WHEN severity = 'high' THEN 0.25 ELSE 0 END + 0.1 + 0.15) + 0.2 * 0.8 + 0.1 AS DOUBLE), {PRIMARY}, 'flow' FROM ft)"""
 
 SQL = {
-    "unguarded_apis": ask("asset", UNGUARDED + " SELECT repo_id, ord, id FROM ungu"),
+    "unguarded_apis": ask("asset", UNGUARDED + " SELECT repo_id, CAST(ord AS VARCHAR) AS ord, id FROM ungu"),
     "asset_rule_threats": ask("asset", HITS + f"""
         SELECT repo_id, 'code-threat-' || id AS id, CAST(rule AS BIGINT) AS rule, {TITLE} AS title, {ASSET_TEXT} AS description, {SEVERITY} AS severity,
           {PRIMARY} AS stride_primary, {SECOND} AS stride_secondary, {EXPOSURE} AS exposure_level, 'code-analysis,' || {SEVERITY} || ',' || type AS tags, CAST(0.85 AS DOUBLE) AS confidence FROM hit"""),

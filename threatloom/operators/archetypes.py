@@ -136,6 +136,15 @@ def compose_services(files: DataFrame) -> DataFrame:
         F.bool_or(F.col("line").contains("services:")).alias("has_compose"))
 
 
+def is_model_path(path: Column) -> Column:
+    """A file that tells language, dependencies or architecture: markers, manifests, deployment and workflow files."""
+    names = {name for table in (ar.LANGUAGE_MARKERS, ar.MANIFESTS, ar.SIGNAL_MANIFESTS) for listed in table.values() for name in listed}
+    names |= {*ar.SERVERLESS_FILES, "docker-compose.yml", "docker-compose.yaml", "Makefile"}
+    plain = ~path.rlike(r"(^|/)(\.[^/]*|vendor|node_modules)/")
+    shaped = path.rlike(r"(^|/)[^/]*Dockerfile$|\.(proto|ipynb)$|^terraform/.*\.tf$|^(kubernetes|k8s|helm)/")
+    return path.startswith(".github/workflows/") | (plain & (path.isin(*sorted(names)) | shaped))
+
+
 def profiles(signal_rows: DataFrame, repositories: DataFrame) -> DataFrame:
     """Primary and secondary type, confidence and description of each repository.
 

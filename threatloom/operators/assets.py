@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threatloom.catalogs import code
 from threatloom.functions.text import any_of, first_of, quoted_path, strings
@@ -123,10 +124,13 @@ def detect_assets(lines: DataFrame) -> DataFrame:
         yes.alias("sensitive"), no.alias("exposed"),
         strings(["environment", "config", "secret"]).alias("tags"),
     )))
+    # Several families may hit one line: their rank comes last, for numbers as for text keys.
+    textual = isinstance(lines.schema["ord"].dataType, StringType)
+    order = F.concat("ord", F.lit("/"), F.hex("a.rank")) if textual else F.col("ord") * 16 + F.col("a.rank")
     return (
         lines.select("repo_id", "ord", "file", (F.col("line_no") + 1).cast("bigint").alias("line"),
                      F.explode(F.array_compact(F.array(*found))).alias("a"))
-        .select("repo_id", (F.col("ord") * 16 + F.col("a.rank")).alias("ord"), "a.id", "a.type", "a.name",
+        .select("repo_id", order.alias("ord"), "a.id", "a.type", "a.name",
                 "file", "line", "a.description", "a.sensitive", "a.exposed", "a.tags")
     )
 

@@ -40,7 +40,8 @@ QUERIES = {
     "assets_of_documents": lambda s, d: a.detect_assets(a.split_lines(documents(s, d)).select(
         F.col("doc_id").cast("string").alias("repo_id"), F.lit("notes.py").alias("file"),
         F.col("line_no").cast("bigint").alias("ord"), "line_no", "line")).select("repo_id", "id", "type", "name"),
-    "assets_by_type_filter": lambda s, d: a.of_type(v.assets(s, d), "api").select("repo_id", "ord", "id", "name"),
+    "assets_by_type_filter": lambda s, d: a.of_type(v.assets(s, d), "api").select(
+        "repo_id", F.col("ord").cast("string").alias("ord"), "id", "name"),
     "flow_summary": lambda s, d: fl.flow_summary(sites(s, d)),
     "flow_endpoints": lambda s, d: fl.flow_endpoints(unique_assets(s, d), sites(s, d)).select(
         "repo_id", "id", "kind", "role", "n_flows"),

@@ -24,7 +24,7 @@ def code_threats_triaged(spark, d):
 
 
 QUERIES = {
-    "unguarded_apis": lambda s, d: r.unguarded_apis(v.assets(s, d)).select("repo_id", "ord", "id"),
+    "unguarded_apis": lambda s, d: r.unguarded_apis(v.assets(s, d)).select("repo_id", F.col("ord").cast("string").alias("ord"), "id"),
     "asset_rule_threats": _asset_threats,
     "agentic_rule_threats": lambda s, d: r.asset_threats(r.agentic_hits(v.assets(s, d)), AS_OF).select(
         "repo_id", "title", "description", "severity", text("tags").alias("tags")),

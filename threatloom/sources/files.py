@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.operators.archetypes import is_model_path
 from threatloom.operators.assets import is_code_path
 
 FINDING_SCHEMA = """
@@ -25,9 +26,10 @@ _corrupt_record STRING
 
 
 def read_trees(spark: SparkSession, root: str) -> DataFrame:
-    """Files under ``root/<repo_id>/...``; only code files are read, hidden and vendored folders not.
+    """Files under ``root/<repo_id>/...``: code files and the manifests, deployment and workflow files that the jobs read.
 
-    The path test is on file metadata, so Spark drops files before it opens them.
+    Hidden and vendored folders are left out, but for workflows.  The path test is on file metadata, so Spark drops other
+    files before it opens them.
     """
     raw = (
         spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
@@ -37,7 +39,7 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
     inner = F.regexp_replace(F.col("full"), rf"^.*?\Q{base}\E/", "")
     return raw.select(
         F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
-        F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content").where(is_code_path(F.col("path")))
+        F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content").where(is_code_path(F.col("path")) | is_model_path(F.col("path")))
 
 
 def read_cves(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +70,15 @@ def read_finding_errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def intake_log(rows: DataFrame, source: str, text: str, schema: str) -> DataFrame:
-    """Per source the records read, the unreadable ones, and the smallest bad record as a sample."""
-    parsed = F.from_json(F.col(text), schema)
-    bad = F.col(text).isNotNull() & parsed.isNull()
+    """Per source the records read and how many of them are unreadable; ``bad_records`` lists these."""
     return rows.groupBy(F.col(source).alias("source")).agg(
-        F.count("*").alias("n_records"), F.count_if(bad).alias("n_errors"),
-        F.min(F.when(bad, F.col(text))).alias("sample_error"))
+        F.count("*").alias("n_records"), F.count_if(_unreadable(text, schema)).alias("n_errors"))
+
+
+def bad_records(rows: DataFrame, source: str, text: str, schema: str) -> DataFrame:
+    """Every unreadable record with its source."""
+    return rows.where(_unreadable(text, schema)).select(F.col(source).alias("source"), F.col(text).alias("record"))
+
+
+def _unreadable(text: str, schema: str) -> Column:
+    return F.col(text).isNotNull() & F.from_json(F.col(text), schema).isNull()

@@ -37,7 +37,7 @@ FROM (
     CASE WHEN type = 'api' THEN 'http,endpoint,api' WHEN type = 'secret' THEN 'secret,credential' ELSE type || ',code' END AS tags
   FROM (
     SELECT 'repo-' || CAST(l_suppkey AS STRING) AS repo_id,
-      (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey AS ord,
+      CAST(CAST(l_orderkey * 8 + l_linenumber AS DECIMAL(38,0)) * 1000000000000 + l_partkey AS DECIMAL(38,0)) AS ord,
       split_part('api|database|authentication|secret|filesystem|network|cryptography|cache|queue', '|', CAST((l_orderkey + 3 * l_linenumber + l_partkey) % 9 AS INT) + 1) AS type,
       'svc' || CAST(l_partkey % 3 AS STRING) || '/' || CASE WHEN l_partkey % 60 = 0 THEN 'config' ELSE 'mod' END
         || CAST(l_partkey % 20 AS STRING) || CASE WHEN l_partkey % 41 = 3 THEN '.env.js' ELSE '.go' END AS file,
@@ -49,7 +49,7 @@ FROM (
 LINE = """
 SELECT 'repo-' || CAST(l_suppkey AS STRING) AS repo_id,
   'svc' || CAST(l_partkey % 3 AS STRING) || '/' || CASE WHEN l_partkey % 41 = 3 THEN '.env.local.js' ELSE 'mod' || CAST(l_partkey % 20 AS STRING) || '.go' END AS file,
-  (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey AS ord,
+  CAST(CAST(l_orderkey * 8 + l_linenumber AS DECIMAL(38,0)) * 1000000000000 + l_partkey AS DECIMAL(38,0)) AS ord,
   CAST(l_orderkey % 400 AS BIGINT) AS line_no,
   replace(split_part('  router.GET("/v1/items/#", handler)~app.post(''/login/#'', auth.Authenticate)~rows := db.Query("SELECT * FROM t" + id)~cursor.execute("INSERT INTO logs VALUES (#)")~token := jwt.sign(claims)~f, err := os.Open(path#)~multipart upload(write)~resp := http.Get("http://svc/#")~key := os.Getenv("API_KEY_#")~password = "hunter#"~kafka.produce(topic#)~redis.get(k#)~cipher := aes.Encrypt(data)~// router.GET("/x")~  # note password = x~~return nil~x := hash(password): y~@app.route(''/admin/#'')~passport.use(oauth)~client_secret: value#~sns.publish(msg)~@Cacheable(name)~fetch(url, credential)~UPDATE users SET a = #~session.get(id)~process.env.TOKEN~conn = psycopg2.connect(dsn)~`/raw/path` Route(x)~func main() ~FOO_#=bar=baz~print(total)', '~', CAST((l_orderkey + 3 * l_linenumber + l_partkey) % 32 AS INT) + 1), '#', CAST(l_partkey % 50 AS STRING)) AS line
 FROM @lineitem
@@ -165,23 +165,13 @@ def sql_for_spark(spark: SparkSession, name: str, sf_dir: str) -> str:
     text = BASES[name]
     for table in ("lineitem", "events", "part", "supplier"):
         if f"@{table}" in text:
-            text = text.replace(f"@{table}", spread(spark, f"{sf_dir}/{table}.parquet"))
+            text = text.replace(f"@{table}", f"parquet.`{sf_dir}/{table}.parquet`")
     return text
 
 
-def spread(spark: SparkSession, path: str) -> str:
-    """FROM item of a table.  A table of fewer files than cores (the samples are one file with one row
-    group) is dealt out first, or a single task would do all narrow work; large tables are read as
-    they are."""
-    cores = spark.sparkContext.defaultParallelism
-    if len(spark.read.parquet(path).inputFiles()) >= cores:
-        return f"parquet.`{path}`"
-    return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`)"
-
-
 def sql_for_check(name: str) -> str:
     """The same SELECT over the pre-registered views, for the SQL check."""
-    text = BASES[name].replace("AS STRING", "AS VARCHAR")
+    text = BASES[name].replace("AS STRING", "AS VARCHAR").replace("AS DECIMAL(38,0)", "AS HUGEINT")
     for table in ("lineitem", "events", "part", "supplier"):
         text = text.replace(f"@{table}", table)
     return text
@@ -197,16 +187,15 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two scans of every repository: the line status tells the scan."""
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    halves = [table.where(F.col("l_linestatus") == status) for status in ("F", "O")]
-    out = []
-    for scan_id, half in zip(("base", "head"), halves):
-        name = f"lineitem_{scan_id}"
-        half.createOrReplaceTempView(name)
-        body = ASSET.replace("@lineitem", name)
-        out.append(spark.sql(body).withColumn("tags", _items("tags")).withColumn("scan_id", F.lit(scan_id)))
-    return out[0].unionByName(out[1])
+    """Two scans of every repository, in one pass: the line status tells the scan."""
+    body = ASSET.replace("@lineitem", f"parquet.`{sf_dir}/lineitem.parquet`")
+    for before, after in (
+        ("sensitive, exposed, tags\nFROM", "sensitive, exposed, tags, scan_id\nFROM"),
+        ("  SELECT repo_id, ord, type,", "  SELECT scan_id, repo_id, ord, type,"),
+        ("    SELECT 'repo-'", "    SELECT CASE l_linestatus WHEN 'F' THEN 'base' WHEN 'O' THEN 'head' END AS scan_id, 'repo-'"),
+    ):
+        body = body.replace(before, after)
+    return spark.sql(body).where(F.col("scan_id").isNotNull()).withColumn("tags", _items("tags"))
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
