@@ -53,7 +53,7 @@ ft AS MATERIALIZED (SELECT repo_id, ord, 'threat-' || ord AS id, message AS titl
 PM = FT + merged("ft", "repo_id, ord")
 SUBS = "sub(req_id, sub_id, description) AS (VALUES " + ", ".join(f"('{s['req_id']}', '{s['sub_id']}', {q(s['description'])})" for s in pci.sub_requirements() if s["relevant"]) + ")"
 RES = PM + ",\n" + SUBS + f""",
-repo AS (SELECT DISTINCT repo_id FROM pm),
+repo AS (SELECT repo_id FROM v_finding UNION SELECT 'repo-' || s_suppkey FROM supplier),
 cnt AS (SELECT pm.repo_id, pm.sub_id, count(*) AS n, max({RANK.format('ft.severity')}) AS rank FROM pm JOIN ft ON ft.repo_id = pm.repo_id AND ft.ord = pm.ord GROUP BY ALL),
 res AS MATERIALIZED (SELECT r.repo_id, s.req_id, s.sub_id, s.description, coalesce(n, 0) AS n_findings, CASE WHEN rank = 10 THEN 'critical' WHEN rank = 7 THEN 'high' WHEN rank = 5 THEN 'medium' WHEN rank = 3 THEN 'low' ELSE 'info' END AS highest_severity,
   CASE WHEN n IS NULL THEN 'Not Tested' WHEN rank >= 7 THEN 'Fail' WHEN rank = 5 THEN 'Partial' WHEN n > 5 THEN 'Partial' ELSE 'Pass' END AS status

@@ -18,10 +18,9 @@ MAPPED = FLOWS + ",\n" + BRIDGE + ",\n" + MERGE.strip() + "," + AFFECTED + """,
 touch AS MATERIALIZED (SELECT t.repo_id, t.id, count(*) AS n, count(*) FILTER (WHERE exposed) AS e FROM triaged t JOIN bridge b ON b.category = t.stride_primary JOIN v_asset a2 ON a2.repo_id = t.repo_id AND a2.type = b.type GROUP BY ALL),
 sens AS (SELECT repo_id, count(*) AS f FROM flow WHERE sensitive GROUP BY ALL),
 dep AS (SELECT repo_id, threat_id AS id, count(*) AS p FROM aff GROUP BY ALL),
-hasrepo AS (SELECT DISTINCT repo_id FROM v_asset),
 mapped AS MATERIALIZED (SELECT t.*, coalesce(n, 0) + coalesce(p, 0) AS n_assets, coalesce(e, 0) AS n_exposed, CASE WHEN stride_primary IN ('T', 'I') THEN coalesce(f, 0) ELSE 0 END AS n_flows, coalesce(p, 0) AS n_patchable,
     least(1.0, priority * (1 + 0.1 * n_assets) * (1 + 0.2 * n_exposed) * (1 + 0.15 * n_flows)) AS risk
-  FROM triaged t JOIN hasrepo USING (repo_id) LEFT JOIN touch c ON c.repo_id = t.repo_id AND c.id = t.id LEFT JOIN sens s ON s.repo_id = t.repo_id LEFT JOIN dep ON dep.repo_id = t.repo_id AND dep.id = t.id
+  FROM triaged t LEFT JOIN touch c ON c.repo_id = t.repo_id AND c.id = t.id LEFT JOIN sens s ON s.repo_id = t.repo_id LEFT JOIN dep ON dep.repo_id = t.repo_id AND dep.id = t.id
   WHERE coalesce(n, 0) + coalesce(p, 0) > 0 OR (stride_primary IN ('T', 'I') AND coalesce(f, 0) > 0))"""
 PRIORITY = "CASE WHEN severity IN ('critical', 'high', 'medium', 'low') THEN severity ELSE 'low' END"
 FIX = f"""CASE WHEN language = 'go' AND stride_primary = 'S' THEN {q(code.FIX_SPOOFING_GO)} WHEN language = 'go' AND stride_primary = 'T' AND type = 'database' THEN {q(code.FIX_TAMPERING_GO_DATABASE)}

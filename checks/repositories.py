@@ -4,7 +4,7 @@ from threatloom.catalogs import architecture as ar
 
 LANG = "lang AS MATERIALIZED (SELECT repo_id, min_by(language, rank) AS language FROM (" + " UNION ALL ".join(
     f"SELECT repo_id, '{language}' AS language, {rank} AS rank FROM v_file WHERE path IN ({', '.join(q(m) for m in markers)})" + (" OR path LIKE 'node_modules/%'" if "node_modules" in markers else "")
-    for rank, (language, markers) in enumerate(ar.LANGUAGE_MARKERS.items())) + ") GROUP BY repo_id)"
+    for rank, (language, markers) in enumerate(ar.LANGUAGE_MARKERS.items())) + " UNION ALL SELECT repo_id, 'unknown', 99 FROM v_file) GROUP BY repo_id)"
 FRAME = LANG + ",\nfw AS MATERIALIZED (SELECT l.repo_id, l.language, CASE " + " ".join(
     f"WHEN l.language = '{language}' THEN CASE " + " ".join(f"WHEN contains(f.content, {q(t)}) THEN '{name}'" for t, name in tests) + f" ELSE '{default}' END"
     for language, (manifest, tests, default) in ar.FRAMEWORK_TESTS.items()) + " ELSE 'unknown' END AS framework FROM lang l LEFT JOIN v_file f ON f.repo_id = l.repo_id AND f.path = CASE " + " ".join(
@@ -95,7 +95,7 @@ pr AS MATERIALIZED (SELECT fw.*, CASE WHEN (SELECT max(vote) FROM vt WHERE vt.re
 ft AS (SELECT repo_id, list(evidence ORDER BY o) AS f FROM (SELECT repo_id, evidence, min(o) AS o FROM sig WHERE type = 'dependency' AND weight >= 0.7 GROUP BY ALL) GROUP BY repo_id),
 px AS MATERIALIZED (SELECT pr.repo_id, p, coalesce((SELECT string_agg(arch_type, ',' ORDER BY vote DESC, o) FROM vt WHERE vt.repo_id = pr.repo_id AND arch_type <> p AND vote >= 0.4), '') AS sec,
    CAST(coalesce(round((SELECT sum(vote) FILTER (WHERE arch_type = p) / sum(vote) FROM vt WHERE vt.repo_id = pr.repo_id), 6), 0) AS DOUBLE) AS confidence,
-   language || ' ' || {NAME} || CASE WHEN framework IN ('unknown', 'stdlib') THEN '' ELSE ' using ' || framework END || coalesce(' with ' || CASE len(f) WHEN 1 THEN f[1] WHEN 2 THEN f[1] || ' and ' || f[2] ELSE f[1] || ', ' || f[2] || 'and ' || f[3] END || CASE WHEN len(f) > 3 THEN ' and more' ELSE '' END, '') AS description
+   CASE WHEN language = 'unknown' THEN '' ELSE language || ' ' END || {NAME} || CASE WHEN framework IN ('unknown', 'stdlib') THEN '' ELSE ' using ' || framework END || coalesce(' with ' || CASE len(f) WHEN 1 THEN f[1] WHEN 2 THEN f[1] || ' and ' || f[2] ELSE f[1] || ', ' || f[2] || 'and ' || f[3] END || CASE WHEN len(f) > 3 THEN ' and more' ELSE '' END, '') AS description
    FROM pr LEFT JOIN ft ON ft.repo_id = pr.repo_id)"""
 ADJ = "adj(a, n, controls, recs, mult) AS (VALUES " + ", ".join(f"('{k}', {len(v[0])}, {q(';'.join(v[3]))}, {q(';'.join(v[2]))}, {sum(v[1].values())})" for k, v in ar.ADJUSTMENTS.items()) + ")"
 

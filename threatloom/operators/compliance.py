@@ -100,16 +100,20 @@ def status_of(rank: Column, n: Column) -> Column:
     )
 
 
-def sub_requirement_results(mappings: DataFrame) -> DataFrame:
+def sub_requirement_results(mappings: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
     """Per repository and relevant sub-requirement: findings, highest severity, status.
 
-    Mappings are counted first; each repository then carries at most one entry per
+    ``repositories`` (repo_id) are all that were looked at: one without a finding is "Not Tested" throughout.  Without it
+    only repositories with a mapped finding show.  Mappings are counted first; each repository then carries at most one entry per
     sub-requirement, and the fixed list of relevant ones is laid over it.
     """
     counted = mappings.groupBy("repo_id", "sub_id").agg(
         F.count("*").alias("n"), F.max(scores.severity_rank(F.col("severity"))).alias("rank"))
     packed = counted.groupBy("repo_id").agg(
         F.map_from_entries(F.collect_list(F.struct("sub_id", F.struct("n", "rank")))).alias("found"))
+    if repositories is not None:
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<n:bigint,rank:int>>"))
+        packed = repositories.select("repo_id").distinct().join(packed, "repo_id", "left").withColumn("found", F.coalesce("found", none))
     relevant = strings([s["sub_id"] for s in pci.sub_requirements() if s["relevant"]])
     laid = packed.select("repo_id", F.explode(relevant).alias("sub_id"), "found").withColumn(
         "f", F.try_element_at("found", F.col("sub_id")))

@@ -11,15 +11,15 @@ from threatloom.operators.reports import first_per
 
 
 def languages(files: DataFrame) -> DataFrame:
-    """Language of each repository: the first language one of whose marker files is at the root."""
+    """Language of each repository: the first language one of whose marker files is at the root, else "unknown"."""
     ranks = []
     for rank, (language, markers) in enumerate(ar.LANGUAGE_MARKERS.items()):
         marked = F.col("path").isin(*markers)
         if "node_modules" in markers:
             marked = marked | F.col("path").startswith("node_modules/")
         ranks.append(F.when(marked, F.struct(F.lit(rank).alias("rank"), F.lit(language).alias("language"))))
-    hits = files.select("repo_id", F.explode(F.array_compact(F.array(*ranks))).alias("m"))
-    return hits.groupBy("repo_id").agg(F.min("m").alias("m")).select("repo_id", "m.language")
+    hits = files.select("repo_id", F.array_min(F.array_compact(F.array(*ranks))).alias("m"))
+    return hits.groupBy("repo_id").agg(F.min("m").alias("m")).select("repo_id", F.coalesce("m.language", F.lit("unknown")).alias("language"))
 
 
 def frameworks(files: DataFrame, repo_languages: DataFrame) -> DataFrame:

@@ -34,8 +34,13 @@ def _threat_mappings(spark, d):
     return pc.map_requirements(rows)
 
 
+def looked_at(spark, d):
+    """Every repository, with findings or not."""
+    return v.findings(spark, d).select("repo_id").union(v.repositories(spark, d).select("repo_id"))
+
+
 def subs(spark, d):
-    return pc.sub_requirement_results(requirement_mappings(spark, d))
+    return pc.sub_requirement_results(requirement_mappings(spark, d), looked_at(spark, d))
 
 
 QUERIES = {
