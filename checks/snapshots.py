@@ -7,7 +7,7 @@ from threatloom.sources.sample_views import ASSET
 
 
 def _assets(name, status):
-    body = ASSET.replace("AS STRING", "AS VARCHAR").replace("@lineitem", f"(SELECT * FROM lineitem WHERE l_linestatus = '{status}') li")
+    body = ASSET.replace("AS STRING", "AS VARCHAR").replace("AS DECIMAL(38,0)", "AS HUGEINT").replace("@lineitem", f"(SELECT * FROM lineitem WHERE l_linestatus = '{status}') li")
     return f"{name} AS MATERIALIZED ({body})"
 
 
@@ -47,8 +47,9 @@ EVERYTHING = PATH_DIFF + ",\n" + KEYED + ",\nad AS MATERIALIZED (SELECT * FROM d
 cc AS MATERIALIZED (SELECT repo_id, 'asset' AS entity, change FROM ad UNION ALL SELECT repo_id, 'threat', change FROM td UNION ALL SELECT repo_id, 'flow', change FROM fd UNION ALL SELECT repo_id, 'path', change FROM pd UNION ALL SELECT repo_id, 'dependency', change FROM dd),
 ct AS (SELECT repo_id, count(*) AS total_changes, count(*) FILTER (WHERE entity = 'threat' AND change = 'added') AS new_threats, count(*) FILTER (WHERE entity = 'threat' AND change = 'removed') AS resolved_threats, count(*) FILTER (WHERE entity = 'path' AND change = 'added') AS new_paths FROM cc GROUP BY repo_id),
 sv AS (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h, count(*) FILTER (WHERE severity = 'medium') AS m, count(*) FILTER (WHERE severity = 'low') AS l, count(*) FILTER (WHERE severity = 'info') AS i FROM td WHERE change = 'added' GROUP BY repo_id),
-sm AS MATERIALIZED (SELECT rd.*, coalesce(total_changes, 0) AS total_changes, coalesce(new_threats, 0) AS new_threats, coalesce(resolved_threats, 0) AS resolved_threats, coalesce(new_paths, 0) AS new_paths, coalesce(c, 0) AS new_critical, coalesce(h, 0) AS new_high, coalesce(m, 0) AS new_medium, coalesce(l, 0) AS new_low, coalesce(i, 0) AS new_info,
-   coalesce(c, 0) + coalesce(h, 0) AS new_high_severity FROM rd LEFT JOIN ct ON ct.repo_id = rd.repo_id LEFT JOIN sv ON sv.repo_id = rd.repo_id)"""
+rp AS (SELECT 'repo-' || l_suppkey AS repo_id FROM lineitem UNION SELECT 'repo-' || user_id FROM events UNION SELECT 'repo-' || (p_partkey % 100) FROM part),
+sm AS MATERIALIZED (SELECT rp.repo_id, coalesce(base_max, 0) AS base_max, coalesce(head_max, 0) AS head_max, coalesce(base_avg, 0) AS base_avg, coalesce(head_avg, 0) AS head_avg, coalesce(threat_delta, 0) AS threat_delta, coalesce(direction, 'unchanged') AS direction, coalesce(total_changes, 0) AS total_changes, coalesce(new_threats, 0) AS new_threats, coalesce(resolved_threats, 0) AS resolved_threats, coalesce(new_paths, 0) AS new_paths, coalesce(c, 0) AS new_critical, coalesce(h, 0) AS new_high, coalesce(m, 0) AS new_medium, coalesce(l, 0) AS new_low, coalesce(i, 0) AS new_info,
+   coalesce(c, 0) + coalesce(h, 0) AS new_high_severity FROM rp LEFT JOIN rd ON rd.repo_id = rp.repo_id LEFT JOIN ct ON ct.repo_id = rp.repo_id LEFT JOIN sv ON sv.repo_id = rp.repo_id)"""
 PRESET = "pre(preset, fc, fh, fi, wh, wi, mr, inc) AS (VALUES " + ", ".join("('" + k + "', " + ", ".join(str(x).lower() for x in v) + ")" for k, v in PRESETS.items()) + ")"
 RULES = [
     ("new_critical > 0 AND fc", "FAIL", "printf('%d new critical threat(s) detected', new_critical)"),

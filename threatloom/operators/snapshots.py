@@ -176,16 +176,21 @@ def risk_delta(stats: DataFrame) -> DataFrame:
     return rows.withColumn("direction", direction)
 
 
-def diff_summary(counts: DataFrame, threats: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Per repository: all changes, new threats by severity, resolved threats, new paths, risk delta."""
+def diff_summary(counts: DataFrame, threats: DataFrame, deltas: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Per repository: all changes, new threats by severity, resolved threats, new paths, risk delta.
+
+    ``repositories`` (repo_id) are those of either scan; one without any threat or change has zeros and gets a verdict too.
+    """
     n = lambda entity, change: F.sum(F.when((F.col("entity") == entity) & (F.col("change") == change), F.col("n")).otherwise(0))
     totals = counts.groupBy("repo_id").agg(
         F.sum("n").alias("total_changes"), n("threat", "added").alias("new_threats"),
         n("threat", "removed").alias("resolved_threats"), n("path", "added").alias("new_paths"))
     severe = threats.where(F.col("change") == "added").groupBy("repo_id").agg(
         *[F.count_if(F.col("severity") == s).alias(f"new_{s}") for s in SEVERITIES])
-    rows = deltas.join(totals, "repo_id", "left").join(severe, "repo_id", "left")
-    filled = rows.fillna(0, ["total_changes", "new_threats", "resolved_threats", "new_paths", *[f"new_{s}" for s in SEVERITIES]])
+    rows = repositories.select("repo_id").distinct().join(deltas, "repo_id", "left")
+    rows = rows.join(totals, "repo_id", "left").join(severe, "repo_id", "left")
+    rows = rows.fillna(0.0, ["base_max", "head_max", "base_avg", "head_avg"]).fillna("unchanged", ["direction"])
+    filled = rows.fillna(0, ["threat_delta", "total_changes", "new_threats", "resolved_threats", "new_paths", *[f"new_{s}" for s in SEVERITIES]])
     return filled.withColumn("new_high_severity", F.col("new_critical") + F.col("new_high"))
 
 

@@ -25,10 +25,19 @@ def union_sources(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def normalize(threats: DataFrame, as_of) -> DataFrame:
+KEY_CHARS = 100
+
+
+def leading(text: str, chars: int | None) -> Column:
+    """The first ``chars`` characters, or the whole text for None."""
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
+
+
+def normalize(threats: DataFrame, as_of, title_chars: int | None = KEY_CHARS) -> DataFrame:
+    """Default titles, times and lower-case tags; a missing title is the start of the description."""
     title = (
         F.when(F.col("title") != "", F.col("title"))
-        .when(F.col("description") != "", F.substring("description", 1, 100))
+        .when(F.col("description") != "", leading("description", title_chars))
         .otherwise("Untitled Threat")
     )
     return threats.withColumns({
@@ -46,8 +55,10 @@ def enrich(threats: DataFrame) -> DataFrame:
     })
 
 
-def dedup_key() -> Column:
-    title = F.substring("title", 1, 100)
+def dedup_key(key_chars: int | None = KEY_CHARS) -> Column:
+    """Key under which rows are merged.  Titles count with their first ``key_chars`` characters, so longer titles that differ
+    later are one threat; None compares whole titles."""
+    title = leading("title", key_chars)
     from_code = F.exists("tags", lambda tag: ascii_lower(tag) == "code-analysis")
     indicator = F.try_element_at("indicators", F.lit(1))
     return (
@@ -89,8 +100,8 @@ def first_appearances(keyed: DataFrame) -> DataFrame:
     )
 
 
-def with_key(threats: DataFrame) -> DataFrame:
-    return threats.withColumn("dedup_key", dedup_key())
+def with_key(threats: DataFrame, key_chars: int | None = KEY_CHARS) -> DataFrame:
+    return threats.withColumn("dedup_key", dedup_key(key_chars))
 
 
 def merge_duplicates(threats: DataFrame, as_of) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators import (
-    assets, compliance, diagram, findings, flows, manifests, mapping, paths, reports, rules, techniques, triage)
+    archetypes, assets, classify, compliance, diagram, findings, flows, manifests, mapping, paths, reports, rules, snapshots, techniques,
+    triage)
 from threatloom.session import checkpointed
 
 
@@ -16,17 +17,20 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
 
     Stage tables that several branches read are written once; all else stays lazy.
     """
-    languages = manifests.languages(files)
+    languages = checkpointed(manifests.languages(files))
+    frameworks = checkpointed(manifests.frameworks(files, languages))
+    profiles = archetypes.profiles(archetypes.signals(files, languages), frameworks)
+    inputs = classify.scan_inputs(frameworks)
     lines = assets.split_lines(assets.code_files(files)).select(
         "repo_id", F.col("path").alias("file"), "line_no", "line",
-        # Lines of one file stay together and in order; files come in hash order.
-        (F.pmod(F.xxhash64("path"), F.lit(1 << 22)) * (1 << 32) + F.col("line_no")).alias("ord"))
+        # Files in the order of their paths, lines in order; a text key never runs out of room.
+        F.concat("path", F.lit("\x00"), F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("ord"))
     found = checkpointed(assets.detect_assets(lines))
     sites = checkpointed(flows.line_sites(assets.unique_by_id(found)))
     dependencies = manifests.dependencies(files, languages)
     raw = rules.code_threats(found, sites, as_of)
     if feed_threats is not None:
-        raw = triage.union_sources(raw, feed_threats)
+        raw = triage.union_sources(raw, feed_threats.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0")))
     raw = checkpointed(raw)  # triage reads it for the rows and again for their lists
     threats = checkpointed(techniques.with_technique_ids(triage.triage(raw, as_of, min_priority, max_age_days)))
     flow_rows = flows.flow_summary(sites)
@@ -38,6 +42,9 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
     graph_nodes = checkpointed(paths.graph_nodes(node_rows, edge_rows, diagram.trust_zones(node_rows)))
     scored = paths.score_paths(paths.attack_paths(graph_nodes, paths.graph_edges(edge_rows, graph_nodes)), graph_nodes)
     return {
+        "frameworks": frameworks, "profiles": profiles, "adjustments": archetypes.adjustments(profiles),
+        "maestro": classify.classify_maestro(
+            inputs, F.col("description"), F.col("technologies"), {"has_agents": F.col("has_agents")}),
         "assets": found, "sites": sites, "flows": flow_rows, "dependencies": dependencies, "threats": threats,
         "mapped": mapped, "nodes": graph_nodes, "edges": edge_rows, "paths": scored,
         "critical_paths": paths.critical_paths(scored, top_paths),
@@ -47,14 +54,69 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
     }
 
 
-def compliance_report(finding_rows: DataFrame, as_of) -> dict[str, DataFrame]:
-    """PCI DSS report of static-analysis findings, per repository."""
+def compliance_report(finding_rows: DataFrame, as_of, repositories: DataFrame | None = None) -> dict[str, DataFrame]:
+    """PCI DSS report of static-analysis findings; ``repositories`` (repo_id) without any finding are reported as not tested."""
     threats = findings.finding_threats(findings.map_findings(finding_rows), as_of)
     mappings = checkpointed(compliance.map_requirements(threats))
-    subs = compliance.sub_requirement_results(mappings)
+    subs = compliance.sub_requirement_results(mappings, repositories)
     requirements = compliance.requirement_results(subs)
     return {
         "mappings": mappings, "sub_requirements": subs, "requirements": requirements,
         "breakdown": compliance.status_breakdown(requirements), "gaps": compliance.gaps(subs),
         "recommendations": compliance.recommendations(subs),
     }
+
+
+def join_scan(rows: DataFrame) -> DataFrame:
+    """Each scan as a repository of its own, so one run covers both scans of all repositories."""
+    return rows.withColumn("repo_id", F.concat("scan_id", F.lit("|"), "repo_id")).drop("scan_id")
+
+
+def split_scan(rows: DataFrame) -> DataFrame:
+    """The scan (up to the first bar) and the repository again."""
+    return rows.withColumns({
+        "scan_id": F.substring_index("repo_id", "|", 1), "repo_id": F.regexp_replace("repo_id", r"^[^|]*\|", "")})
+
+
+def scan_sites(asset_rows: DataFrame) -> DataFrame:
+    return checkpointed(flows.line_sites(assets.unique_by_id(join_scan(asset_rows))))
+
+
+def flow_diff(sites: DataFrame) -> DataFrame:
+    return snapshots.diff_flows(split_scan(flows.file_counts(sites)), split_scan(flows.banded_files(sites)))
+
+
+def path_pairs(asset_rows: DataFrame, threat_rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Entries and targets of each scan; which pairs are joined is all that a comparison needs."""
+    node_rows = checkpointed(diagram.nodes(join_scan(asset_rows), techniques.with_technique_ids(join_scan(threat_rows))))
+    edge_rows = checkpointed(diagram.edges(sites))
+    graph_nodes = checkpointed(paths.graph_nodes(node_rows, edge_rows, diagram.trust_zones(node_rows)))
+    return split_scan(paths.reachable_pairs(graph_nodes, paths.graph_edges(edge_rows, graph_nodes)))
+
+
+def risk_stats(threat_rows: DataFrame) -> DataFrame:
+    return threat_rows.groupBy("repo_id", "scan_id").agg(
+        F.round(F.max("priority"), 6).alias("max_risk"), F.round(F.avg("priority"), 6).alias("avg_risk"),
+        F.count("*").alias("total_threats"))
+
+
+def compare(asset_rows: DataFrame, threat_rows: DataFrame, dependency_rows: DataFrame,
+            repositories: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Comparison of the scans "base" and "head" of every repository, from tables that carry ``scan_id``.
+
+    ``threat_rows`` are triaged.  ``repositories`` (repo_id) are those that were scanned; by default those that occur in one
+    of the tables.  Every stage table is made once and shared by all results.
+    """
+    threats = checkpointed(threat_rows)
+    sites = scan_sites(asset_rows)
+    if repositories is None:
+        repositories = asset_rows.select("repo_id").union(threats.select("repo_id")).union(dependency_rows.select("repo_id"))
+    changes = {
+        "assets": checkpointed(snapshots.diff_assets(asset_rows)), "threats": checkpointed(snapshots.diff_threats(threats)),
+        "flows": checkpointed(flow_diff(sites)), "paths": checkpointed(snapshots.diff_paths(path_pairs(asset_rows, threats, sites))),
+        "dependencies": checkpointed(snapshots.diff_dependencies(dependency_rows))}
+    counts = snapshots.change_counts(*changes.values())
+    summary = checkpointed(snapshots.diff_summary(counts, changes["threats"], snapshots.risk_delta(risk_stats(threats)), repositories))
+    return {
+        **changes, "change_table": snapshots.change_table(counts), "summary": summary, "verdicts": snapshots.verdicts(summary),
+        "drift": snapshots.drift_score(summary)}

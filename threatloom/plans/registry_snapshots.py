@@ -2,77 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from threatloom.operators import assets as a
-from threatloom.operators import diagram as dg
-from threatloom.operators import flows as fl
-from threatloom.operators import paths as pt
 from threatloom.operators import snapshots as sn
-from threatloom.operators import techniques as te
 from threatloom.operators import triage as t
-from threatloom.plans import AS_OF
+from threatloom.plans import AS_OF, jobs
 from threatloom.plans.registry_triage import text
 from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
 
 
-def join_scan(rows):
-    """Each scan as a repository of its own, so one run covers both scans of all repositories."""
-    return rows.withColumn("repo_id", F.concat("scan_id", F.lit("|"), "repo_id")).drop("scan_id")
-
-
-def split_scan(rows):
-    parts = F.split("repo_id", r"\|")
-    return rows.withColumns({"scan_id": parts[0], "repo_id": parts[1]})
-
-
 def threat_scans(spark, d):
     half = F.when(F.col("discovered_at") < F.lit("2024-01-16").cast("timestamp"), "base").otherwise("head")
-    rows = join_scan(v.threats(spark, d).withColumn("scan_id", half))
-    return split_scan(t.triage(rows, AS_OF, min_priority=0.3))
+    rows = jobs.join_scan(v.threats(spark, d).withColumn("scan_id", half))
+    return jobs.split_scan(t.triage(rows, AS_OF, min_priority=0.3))
 
 
 def asset_scans(spark, d):
     return v.asset_snapshots(spark, d)
 
 
-def site_scans(spark, d):
-    return checkpointed(fl.line_sites(a.unique_by_id(join_scan(asset_scans(spark, d)))))
-
-
-def flow_changes(spark, d, sites=None):
-    sites = site_scans(spark, d) if sites is None else sites
-    return sn.diff_flows(split_scan(fl.file_counts(sites)), split_scan(fl.banded_files(sites)))
-
-
-def path_scans(spark, d, threats=None, sites=None):
-    threats = threat_scans(spark, d) if threats is None else threats
-    node_rows = checkpointed(dg.nodes(join_scan(asset_scans(spark, d)), te.with_technique_ids(join_scan(threats))))
-    edge_rows = checkpointed(dg.edges(site_scans(spark, d) if sites is None else sites))
-    graph_nodes = checkpointed(pt.graph_nodes(node_rows, edge_rows, dg.trust_zones(node_rows)))
-    paths = pt.attack_paths(graph_nodes, pt.graph_edges(edge_rows, graph_nodes))
-    return split_scan(paths)
-
-
-def stats_scans(threats):
-    return threats.groupBy("repo_id", "scan_id").agg(
-        F.round(F.max("priority"), 6).alias("max_risk"), F.round(F.avg("priority"), 6).alias("avg_risk"),
-        F.count("*").alias("total_threats"))
-
-
-def summary(spark, d):
-    threats = checkpointed(threat_scans(spark, d))
-    sites = site_scans(spark, d)
-    changed = sn.diff_threats(threats)
-    counts = sn.change_counts(
-        sn.diff_assets(asset_scans(spark, d)), changed, flow_changes(spark, d, sites),
-        sn.diff_paths(path_scans(spark, d, threats, sites)), sn.diff_dependencies(v.dependencies(spark, d)))
-    return sn.diff_summary(counts, changed, sn.risk_delta(stats_scans(threats)))
+def compared(spark, d):
+    everywhere = v.threats(spark, d).select("repo_id").union(asset_scans(spark, d).select("repo_id")).union(
+        v.dependencies(spark, d).select("repo_id"))
+    return jobs.compare(asset_scans(spark, d), threat_scans(spark, d), v.dependencies(spark, d), everywhere)
 
 
-def counts(spark, d):
-    return sn.change_counts(
-        sn.diff_assets(asset_scans(spark, d)), sn.diff_threats(threat_scans(spark, d)), flow_changes(spark, d),
-        sn.diff_paths(path_scans(spark, d)), sn.diff_dependencies(v.dependencies(spark, d)))
+def paths(spark, d):
+    assets = asset_scans(spark, d)
+    return jobs.path_pairs(assets, checkpointed(threat_scans(spark, d)), jobs.scan_sites(assets))
 
 
 def daily_scans(spark, d):
@@ -88,15 +44,15 @@ QUERIES = {
     "diff_critical_modifications": lambda s, d: sn.critical_modifications(sn.diff_assets(asset_scans(s, d))).select(
         "repo_id", "key"),
     "diff_threats": lambda s, d: sn.diff_threats(threat_scans(s, d)).select("repo_id", "key", "severity", "change"),
-    "diff_flows": lambda s, d: flow_changes(s, d),
-    "diff_paths": lambda s, d: sn.diff_paths(path_scans(s, d)),
+    "diff_flows": lambda s, d: jobs.flow_diff(jobs.scan_sites(asset_scans(s, d))),
+    "diff_paths": lambda s, d: sn.diff_paths(paths(s, d)),
     "diff_dependencies": lambda s, d: sn.diff_dependencies(v.dependencies(s, d)),
-    "diff_change_table": lambda s, d: sn.change_table(counts(s, d)),
-    "diff_risk_delta": lambda s, d: sn.risk_delta(stats_scans(threat_scans(s, d))),
-    "diff_summary": lambda s, d: summary(s, d),
-    "diff_verdicts": lambda s, d: sn.verdicts(summary(s, d)).select(
+    "diff_change_table": lambda s, d: compared(s, d)["change_table"],
+    "diff_risk_delta": lambda s, d: sn.risk_delta(jobs.risk_stats(threat_scans(s, d))),
+    "diff_summary": lambda s, d: compared(s, d)["summary"],
+    "diff_verdicts": lambda s, d: compared(s, d)["verdicts"].select(
         "repo_id", "preset", "verdict", "reason", F.col("exit_code").cast("bigint").alias("exit_code"), "line"),
-    "diff_drift": lambda s, d: sn.drift_score(summary(s, d)).select(
+    "diff_drift": lambda s, d: compared(s, d)["drift"].select(
         "repo_id", F.round("drift", 4).alias("drift"), F.col("drift_level").cast("bigint").alias("drift_level")),
     "diff_json": lambda s, d: sn.as_json(sn.diff_assets(asset_scans(s, d))),
     "content_ids": lambda s, d: sn.with_content_ids(v.assets(s, d)).groupBy("repo_id", "id").agg(F.count("*").alias("n")),
