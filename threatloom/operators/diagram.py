@@ -10,6 +10,7 @@ from threatloom.functions import scores
 from threatloom.functions.text import lookup, strings
 from threatloom.operators import flows
 from threatloom.operators.classify import profile_text
+from threatloom.session import checkpointed
 
 NODE = ["repo_id", "node_id"]
 
@@ -104,10 +105,10 @@ def edges(sites: DataFrame) -> DataFrame:
     Flow ends fold to nodes inside each scope first, so a scope meets at most (types x types) node
     pairs; the banded kind meets lines inside line windows.
     """
-    located = _located(sites)
+    located = checkpointed(_located(sites))
     end = F.struct("ord", "sensitive", "encrypted")
-    folded = flows.product_ends(located).groupBy("repo_id", "kind", "role", "scope", "node_id").agg(
-        F.min(end).alias("first"))
+    folded = checkpointed(flows.product_ends(located).groupBy("repo_id", "kind", "role", "scope", "node_id").agg(
+        F.min(end).alias("first")))
     side = lambda role, prefix: folded.where(F.col("role") == role).select(
         "repo_id", "kind", "scope", F.col("node_id").alias(f"{prefix}_node"), F.col("first").alias(prefix))
     products = side("src", "s").join(side("dst", "d"), ["repo_id", "kind", "scope"]).select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from threatloom.catalogs import code
 from threatloom.functions.skew import salted_join
+from threatloom.operators.assets import unique_by_id
 
 FILE = ["repo_id", "file"]
 WINDOW = 50  # widest band of any rule, in lines
@@ -55,6 +56,11 @@ def line_sites(assets: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("ord").alias("ord"))
 
 
+def unique_sites(assets: DataFrame) -> DataFrame:
+    """``line_sites`` of assets that may repeat an id.  Only the columns that count travel through the removal of repeats."""
+    return line_sites(unique_by_id(assets.select("repo_id", "id", "ord", "file", "line", "type", "sensitive")))
+
+
 def line_counts(sites: DataFrame) -> DataFrame:
     """Per line the counts the bands and rules look at."""
     count = lambda t: F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0))

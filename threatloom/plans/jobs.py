@@ -26,7 +26,7 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
         # Files in the order of their paths, lines in order; a text key never runs out of room.
         F.concat("path", F.lit("\x00"), F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("ord"))
     found = checkpointed(assets.detect_assets(lines))
-    sites = checkpointed(flows.line_sites(assets.unique_by_id(found)))
+    sites = checkpointed(flows.unique_sites(found))
     dependencies = manifests.dependencies(files, languages)
     raw = rules.code_threats(found, sites, as_of)
     if feed_threats is not None:
@@ -79,7 +79,7 @@ def split_scan(rows: DataFrame) -> DataFrame:
 
 
 def scan_sites(asset_rows: DataFrame) -> DataFrame:
-    return checkpointed(flows.line_sites(assets.unique_by_id(join_scan(asset_rows))))
+    return checkpointed(flows.unique_sites(join_scan(asset_rows)))
 
 
 def flow_diff(sites: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def unique_assets(spark, d):
 
 def sites(spark, d):
     """Stage table of the flow work: written once, read by every branch of a query."""
-    return checkpointed(fl.line_sites(unique_assets(spark, d)))
+    return checkpointed(fl.unique_sites(v.assets(spark, d)))
 
 
 def _page_hits(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,15 @@ def work_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="threatloom-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        # This session's own folder below the one named: stage tables are of no use after it.
+        path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write a stage table to reliable storage and go on from there, so that a lost executor costs a
-    re-read only."""
-    work_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage table to the shared folder as Parquet and go on from there: lineage is cut, a lost executor costs a
+    re-read only, and later readers prune columns.  The folder goes when the session ends."""
+    path = f"{work_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

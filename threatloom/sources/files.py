@@ -31,10 +31,14 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
     Hidden and vendored folders are left out, but for workflows.  The path test is on file metadata, so Spark drops other
     files before it opens them.
     """
-    raw = (
-        spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
-        .select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
-    )
+    whole = lambda *paths: (
+        spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load([*paths])
+        .select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content")))
+    raw = whole(root)
+    # Listing passes over names with a leading dot, so the workflow folders are named outright.
+    workflows = f"{root.rstrip('/')}/*/.github/workflows"
+    if _exists(spark, workflows):
+        raw = raw.union(whole(workflows))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     inner = F.regexp_replace(F.col("full"), rf"^.*?\Q{base}\E/", "")
     return raw.select(
@@ -42,6 +46,12 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
         F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content").where(is_code_path(F.col("path")) | is_model_path(F.col("path")))
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def read_cves(spark: SparkSession, path: str) -> DataFrame:
     """Feed records as JSON lines; unreadable ones keep their text in ``_corrupt_record``."""
     return spark.read.schema(CVE_DDL).option("mode", "PERMISSIVE").option(
