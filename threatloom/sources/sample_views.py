@@ -165,10 +165,17 @@ def sql_for_spark(spark: SparkSession, name: str, sf_dir: str) -> str:
     text = BASES[name]
     for table in ("lineitem", "events", "part", "supplier"):
         if f"@{table}" in text:
-            text = text.replace(f"@{table}", f"parquet.`{sf_dir}/{table}.parquet`")
+            text = text.replace(f"@{table}", dealt(spark, f"{sf_dir}/{table}.parquet"))
     return text
 
 
+def dealt(spark: SparkSession, path: str) -> str:
+    """FROM item of a sample table.  The samples are one row group each, which one task would read and shape alone, so
+    every table is dealt out over the session's shuffle partitions, whatever its size.  Jobs take tables of their own and
+    do not pass here."""
+    return f"(SELECT /*+ REPARTITION({spark.conf.get('spark.sql.shuffle.partitions')}) */ * FROM parquet.`{path}`)"
+
+
 def sql_for_check(name: str) -> str:
     """The same SELECT over the pre-registered views, for the SQL check."""
     text = BASES[name].replace("AS STRING", "AS VARCHAR").replace("AS DECIMAL(38,0)", "AS HUGEINT")
@@ -188,7 +195,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scans of every repository, in one pass: the line status tells the scan."""
-    body = ASSET.replace("@lineitem", f"parquet.`{sf_dir}/lineitem.parquet`")
+    body = ASSET.replace("@lineitem", dealt(spark, f"{sf_dir}/lineitem.parquet"))
     for before, after in (
         ("sensitive, exposed, tags\nFROM", "sensitive, exposed, tags, scan_id\nFROM"),
         ("  SELECT repo_id, ord, type,", "  SELECT scan_id, repo_id, ord, type,"),
