@@ -134,6 +134,15 @@ def test_every_kind_is_found_replaced_and_keeps_its_format(spark):
         assert second.pii_found == {kind: 2}, "a pseudonym passes the check of its kind"
 
 
+def test_neighbouring_values_do_not_hide_each_other(spark):
+    values = ["4405935324758010", "16.120.181.235", "4337 1665 9846 4399", "988-555-2485", "1984-02-29", "a.b@mail.example.org"]
+    rows = [(n, f"{x} {y}") for n, (x, y) in enumerate((x, y) for x in values for y in values if x != y)]
+    got = {r.doc_id: r for r in pii.pseudonymised(docs(spark, rows)).collect()}
+    for number, text in rows:
+        assert sum(got[number].pii_found.values()) == 2, text
+        assert not any(v in got[number].text for v in values if v in text)
+
+
 def test_texts_without_valid_values_stay(spark):
     rows = [(1, None), (2, ""), (3, "Version 2.0 of 2019, card 4337166598464398, 1985-02-29, 999.1.1.1, a@b"), (4, "z" * 200_000), (4, "z"), (None, "z")]
     got = pii.pseudonymised(docs(spark, rows))
