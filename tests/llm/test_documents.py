@@ -81,6 +81,19 @@ def test_bit_estimate_is_close_to_the_similarity(spark):
     assert neardup.least_estimate(0.8) < 0.68
 
 
+def test_floor_of_the_estimate_keeps_small_sets_at_the_threshold(spark):
+    rng, apart = np.random.default_rng(5), []
+    for _ in range(4):
+        narrow = rng.integers(0, 1 << 32, (20_000, 5)).astype(np.uint32)
+        values = [neardup._FACTORS.T * narrow[:, j : j + 1] + neardup._TERMS.T for j in range(5)]
+        four = np.minimum.reduce(values[:4])
+        left, right = neardup.packed_bits(four), neardup.packed_bits(np.minimum(four, values[4]))
+        differs = ((four ^ np.minimum(four, values[4])) & np.uint32(15) != 0).sum(axis=1)
+        apart += [(left[i].view(np.int64).tolist(), right[i].view(np.int64).tolist()) for i in np.flatnonzero(differs > 43)]
+    pairs = spark.createDataFrame(apart, "a array<bigint>, b array<bigint>")
+    assert apart and pairs.where(neardup.estimate(F.col("a"), F.col("b")) < neardup.least_estimate(0.8)).count() == 0
+
+
 def test_word_helpers_agree_with_regular_expressions():
     texts = ["", None, "a", " a  b\tc\x0b\x0cd ", "é x y z", "\n\n", "Z\x00 \x00z", "q" * 3_000_000 + " r"]
     assert word_counts(pa.array(texts)).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
