@@ -156,6 +156,18 @@ def test_neighbouring_values_do_not_hide_each_other(spark):
         assert not any(v in got[number].text for v in values if v in text)
 
 
+IBANS = ["AT611904300234573201", "BE68539007547034", "PL61109010140000071219812874", "SE4550000000058398257466", "ES9121000418450200051332",
+         "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+
+
+def test_an_iban_does_not_run_into_the_next_word(spark):
+    rows = [(n, f"{v} {after}") for n, (v, after) in enumerate((v, a) for v in IBANS for a in ("OK", "EUR", "DUE", "PAID", "2024-01-01", "4405935324758010"))]
+    for row in pii.pseudonymised(docs(spark, rows)).collect():
+        value, after = next((v, t.removeprefix(f"{v} ")) for v in IBANS for i, t in rows if i == row.doc_id and t.startswith(v))
+        assert row.pii_found.get("iban") == 1 and value not in row.text
+        assert (sum(row.pii_found.values()) == 2 and after not in row.text) if after[0].isdigit() else row.text.endswith(f" {after}")
+
+
 def test_texts_without_valid_values_stay(spark):
     rows = [(1, None), (2, ""), (3, "Version 2.0 of 2019, card 4337166598464398, 1985-02-29, 999.1.1.1, a@b"), (4, "z" * 200_000), (4, "z"), (None, "z")]
     got = pii.pseudonymised(docs(spark, rows))

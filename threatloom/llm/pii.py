@@ -12,6 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+# Fixed value: lengths of the IBANs of the countries in the registry.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "HR LV LI CH",
+    22: "BH BG CR GE DE IE ME RS GB VA", 23: "GI IL AE IQ TL OM SO", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT ST LY",
+    26: "IS TR", 27: "FR GR IT MR MC SM BI DJ", 28: "AL AZ CY DO GT HU LB PL BY SV HN", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "NI LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN of its country's length is taken first, so it never runs into the next word; then any length, unbroken first."""
+    bounded = []
+    for length, countries in _IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        bounded.append(f"(?:{'|'.join(countries.split())})\\d\\d(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    other = r"[A-Z]{2}\d\d(?:[A-Z0-9]{11,31}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*bounded, other])})(?![A-Za-z0-9])"
+
+
 KEY = "pseudonym-key-1"
 
 # What is looked for, in this order of preference at one place.  Digits are never cut out of longer digit runs.
@@ -25,7 +44,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "phone": r"(?<!\d)(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
 }
 ANY = "|".join(PATTERNS.values())
 # A cheap test that every pattern implies, so that most texts are passed over in one scan.
