@@ -48,7 +48,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 # A cheap test that every pattern implies, so that most texts are passed over in one scan.
-_HINT = r"[@\d]|(?i:passw|secret|token|api[_-]?key)"
+_HINT = r"[@\d]|AKIA|ASIA|(?i:passw|secret|token|api[_-]?key)"
 
 
 def _noise(key: str, label: str, number: Column, *parts: Column) -> Column:
