@@ -226,3 +226,19 @@ def test_anchors_lose_no_line():
         base = licenses.terms(rng.choice([t for texts in licenses.TEMPLATES.values() for t in texts]))
         line = " ".join(w for w in base + rng.choices(pool, k=rng.randrange(6)) if rng.random() < 0.8)
         assert matcher.of_text(line, False) == matcher.of_unit(line)
+
+
+def test_wrapped_and_embedded_notices_are_found(spark):
+    gpl, mit = licenses.TEMPLATES["gpl-3.0"][1], licenses.TEMPLATES["mit"][1]
+    wrapped = lambda text, mark, n: "\n".join(f"{mark} {' '.join(text.split()[i : i + n])}" for i in range(0, len(text.split()), n))
+    texts = {
+        "gpl-3.0": ["int x;\n" + wrapped(gpl, " *", 11) + "\n */\nint y;"],
+        "mit": [wrapped(mit, "#", 9) + "\nimport os", "We made this in May. Released under the MIT License. It works well enough."],
+        "apache-2.0": ["This file is part of Foo. Licensed under the Apache License, Version 2.0. See LICENSE for more."],
+        "all-rights-reserved": ["Copyright (c) 2020 Jane Doe. All rights reserved."],
+    }
+    rows = [(name, text) for name, found in texts.items() for text in found] + [(None, "He had the rights to a version of the software.")]
+    files = spark.createDataFrame([(n, "p/f.py", text) for n, (_, text) in enumerate(rows)], "doc_id bigint, path string, text string")
+    got = {r.key: (r.own_license, r.own_score) for r in licenses.scan(files).collect()}
+    assert [got[n][0] for n in range(len(rows))] == [name for name, _ in rows]
+    assert all(got[n][1] > 0.9 for n in range(len(rows) - 1))

@@ -1,4 +1,4 @@
-"""Licence scan: TF-IDF cosine of notices and licence files to templates, then inheritance from the nearest directory."""
+"""Licence scan: TF-IDF cosine of lines, sentences, windows and licence files to templates, then inheritance from the nearest directory."""
 
 from __future__ import annotations
 
@@ -33,6 +33,9 @@ TEMPLATES = {
     "all-rights-reserved": ["All rights reserved."],
 }
 LEAST = 0.7
+# Shortest and longest window, times the length of a wording.
+WINDOW = (0.75, 1.5)
+_SENTENCE_END = re.compile(r"[.!?]+[\"')]*(?=\s)|\n[^a-z0-9\n]*(?=\n)")
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _OUT = StructType([StructField("license", StringType()), StructField("score", DoubleType())])
 _ARROW = pa.struct([("license", pa.string()), ("score", pa.float64())])
@@ -52,11 +55,12 @@ class Matcher:
 
     def __init__(self, templates: Mapping[str, list[str]], least: float) -> None:
         self.least = least
+        self._enough = least * least - 1e-9
         wordings = [(name, Counter(terms(text))) for name, texts in sorted(templates.items()) for text in texts]
         seen = Counter(term for _, counts in wordings for term in counts)
         self.idf = {term: math.log((1 + len(wordings)) / (1 + n)) + 1 for term, n in seen.items()}
         self.rarest = math.log((1 + len(wordings)) / 1) + 1
-        self.wordings, anchors = [], set()
+        self.wordings, self.spans, self.uses, anchors = [], [], {}, set()
         for name, counts in wordings:
             vector = self._weighed(counts)
             self.wordings.append((name, vector))
@@ -66,6 +70,10 @@ class Matcher:
                     break
                 anchors.add(term)
                 rest -= weight * weight
+            size = sum(counts.values())
+            for term, weight in vector.items():
+                self.uses.setdefault(term, []).append((len(self.spans), weight * weight))
+            self.spans.append((name, vector, math.ceil(WINDOW[0] * size), math.ceil(WINDOW[1] * size)))
         self.anchor = re.compile("|".join(re.escape(a) for a in sorted(anchors, key=lambda a: (-len(a), a))))
 
     def _weighed(self, counts: Counter) -> dict[str, float]:
@@ -102,6 +110,90 @@ class Matcher:
         return best
 
 
+    def of_sentences(self, lowered: str) -> tuple[float, str] | None:
+        """Best match of any sentence, across line breaks and comment marks."""
+        best, at = None, 0
+        while found := self.anchor.search(lowered, at):
+            start = at
+            for mark in _SENTENCE_END.finditer(lowered, at):
+                if mark.end() > found.start():
+                    break
+                start = mark.end()
+            else:
+                mark = None
+            end = mark.end() if mark else len(lowered)
+            end = max(end, found.end())
+            if max(self._reached(set(terms(lowered[start:end])))) >= self._enough:
+                match = self.of_unit(lowered[start:end])
+                if match and (best is None or match[0] > best[0] + 1e-12):
+                    best = match
+            at = end
+        return best
+
+    def of_windows(self, lowered: str) -> tuple[float, str] | None:
+        """Best match of any window about as long as a wording; ties to the earlier name.
+
+        A window starts with a term of the wording, and is compared where it shares enough weight with it.
+        """
+        found = terms(lowered)
+        places: list[list[int]] = [[] for _ in self.spans]
+        reached = self._reached(set(found))
+        for i, term in enumerate(found):
+            for number, _ in self.uses.get(term, ()):
+                if reached[number] >= self._enough:
+                    places[number].append(i)
+        best = None
+        for (name, wording, shortest, longest), at in zip(self.spans, places, strict=True):
+            inside: Counter = Counter()
+            held, after = 0.0, 0
+            for start in at:
+                while after < len(at) and at[after] < start + longest:
+                    term = found[at[after]]
+                    held += 0.0 if inside[term] else wording[term] ** 2
+                    inside[term] += 1
+                    after += 1
+                if held >= self._enough:
+                    score = self._best_window(found, start, wording, shortest, longest)
+                    if score >= self.least and (best is None or score > best[0] + 1e-12):
+                        best = (score, name)
+                inside[found[start]] -= 1
+                held -= 0.0 if inside[found[start]] else wording[found[start]] ** 2
+        return best
+
+    def _reached(self, found: set[str]) -> list[float]:
+        """Squared weight of the terms that a text shares with each wording: the squared cosine is at most that."""
+        out = [0.0] * len(self.spans)
+        for term in found:
+            for number, square in self.uses.get(term, ()):
+                out[number] += square
+        return out
+
+    def _best_window(self, found: list[str], start: int, wording: dict[str, float], shortest: int, longest: int) -> float:
+        """Best cosine of the windows from ``start`` on."""
+        counts: dict[str, int] = {}
+        best = dot = square = 0.0
+        for end in range(start, min(len(found), start + longest)):
+            term = found[end]
+            weight, before = self.idf.get(term, self.rarest), counts.get(term, 0)
+            counts[term] = before + 1
+            square += weight * weight * (2 * before + 1)
+            dot += weight * wording.get(term, 0.0)
+            if end - start + 1 >= shortest or end + 1 == len(found):
+                best = max(best, dot / math.sqrt(square))
+        return best
+
+    def of_file(self, text: str, whole: bool) -> tuple[float, str] | None:
+        """Best match of any line, sentence or window, and of the text as a whole if it is a licence file."""
+        best = self.of_text(text, whole)
+        lowered = text.lower()
+        if not self.anchor.search(lowered):
+            return best
+        for match in (self.of_sentences(lowered), self.of_windows(lowered)):
+            if match and (best is None or match[0] > best[0] + 1e-12):
+                best = match
+        return best
+
+
 def is_licence_file(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0).rlike(r"(?i)^(licen[cs]e|copying|notice|unlicense)")
 
@@ -110,7 +202,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", key_c
          least: float = LEAST) -> DataFrame:
     """One row per file: ``key, path, own_license, own_score, license, found_in``.
 
-    Every line of the whole text is compared with every template wording, a licence file (by its name) also as a whole; the
+    Every line and sentence of the whole text, and every window about as long as a wording (``WINDOW``), across line breaks and
+    comment marks, is compared with every template wording, a licence file (by its name) also as a whole; the
     best cosine of at least ``least`` gives the file's own licence.  A file without one takes the licence of the nearest
     directory above it (its own first) that holds a licence file with one; of several there the best score, then the name,
     then the path decides.  ``found_in`` is ``text``, the directory, or null.  Null texts and paths count as empty; a file without
@@ -121,7 +214,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", key_c
     @F.arrow_udf(_OUT)
     def matched(texts: pa.Array, whole: pa.Array) -> pa.Array:
         matcher = _matcher(templates, least)
-        found = [matcher.of_text(t or "", bool(w)) for t, w in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
+        found = [matcher.of_file(t or "", bool(w)) for t, w in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
         return pa.array([{"license": m[1], "score": m[0]} if m else None for m in found], _ARROW)
 
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
