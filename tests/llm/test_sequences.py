@@ -212,3 +212,21 @@ def test_blocks_change_nothing_and_recall_is_high(spark, monkeypatch):
     right = exact(rows, asked, 20)
     found = sum(len(set(right[q]) & {whole[q, r] for r in range(1, 21)}) for q in asked)
     assert found / (20 * len(asked)) >= 0.9
+
+
+@pytest.mark.parametrize("count", [16, 21])
+def test_few_candidates_are_all_found(spark, count):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(count).standard_normal((count, 64)))]
+    got = {}
+    for r in ann.nearest(vectors(spark, rows), vectors(spark, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(rows, list(range(count)), 20)
+
+
+def test_wide_vectors_are_found_too(spark):
+    x = np.random.default_rng(8).standard_normal((2000, 384))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    table, asked = vectors(spark, rows), list(range(0, 2000, 100))
+    right = exact(rows, asked, 20)
+    got = ann.nearest(table.where("vec_id % 100 = 0"), table).collect()
+    assert sum(r.vec_id in right[r.query_id] for r in got) / (20 * len(asked)) >= 0.9

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from threatloom.llm.common import stage
 
 TABLES, PROBES, ROTATIONS = 4, 36, 3
+# Share of the signed axes that is probed more with every doubling of the width above 64: neighbours at random get less distinct.
+PROBE_GROWTH = 0.06
 BLOCK, QUERY_BLOCK = 32768, 1024
 _SEED = 77
 
@@ -46,13 +48,20 @@ def axes(x: np.ndarray, number: int, count: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :count]
 
 
+def probes_of(width: int) -> int:
+    """Probed axes of a table for vectors of a width: 36 of the 128 of 64 dimensions, a growing share of wider ones."""
+    signed = 2 << max(0, width - 1).bit_length()
+    share = PROBES / 128 + PROBE_GROWTH * max(0.0, np.log2(signed / 128))
+    return max(PROBES, int(np.ceil(signed * min(1.0, share))))
+
+
 def _rows_of(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1)
 
 
-def codes_of(vector: Column, count: int, tables: int = TABLES) -> Column:
-    """Codes of a vector in every table, ``array<array<int>>``."""
+def codes_of(vector: Column, count: int | None, tables: int = TABLES) -> Column:
+    """Codes of a vector in every table, ``array<array<int>>``; as many as suit its width if ``count`` is None."""
     @F.arrow_udf("array<array<int>>")
     def codes(vectors: pa.Array) -> pa.Array:
         out: list = [None] * len(vectors)
@@ -60,7 +69,7 @@ def codes_of(vector: Column, count: int, tables: int = TABLES) -> Column:
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             x = _rows_of(vectors.take(pa.array(at)))
-            found = np.stack([axes(x, number, count) for number in range(tables)], axis=1)
+            found = np.stack([axes(x, number, probes_of(int(length)) if count is None else count) for number in range(tables)], axis=1)
             for row, value in zip(at.tolist(), found.tolist(), strict=True):
                 out[row] = value
         return pa.array(out, pa.list_(pa.list_(pa.int32())))
@@ -115,33 +124,16 @@ def _best(queries: pa.Table, found: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(q_ids[rows[keep]]), "vec_id": pa.array(c_ids[places[keep]]), "score": pa.array(scores[keep])})
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query, its own id left out.
+def _looks(asked: DataFrame, bands: DataFrame, groups: Column, probes: int | None, tables: int) -> DataFrame:
+    """Every query with its codes in each table and band, once for each group of cells that can hold one of them."""
+    return stage(
+        asked.join(bands, "width").select("query_id", "vec", "width", "band", F.posexplode(codes_of(F.col("vec"), probes, tables)).alias("table", "codes"))
+        .withColumn("part", F.explode(F.array_distinct(F.transform("codes", lambda c: F.pmod(c, groups))))))
 
-    Every vector is indexed in ``tables`` tables under its nearest signed axis; a query looks into its ``probes`` nearest axes of
-    every table and every band of norms, and all vectors found there are ranked by the exact inner product in double precision,
-    ties to the smaller id.  Cells are dealt into groups, and queries as well, of bounded size; no pair leaves a group
-    but the best ``k`` of each query.  Of equal vectors only the ``k + 1`` smallest ids can be among the nearest, so only these are
-    compared.  Vectors that are null, empty, zero, or hold a null or non-finite number take no part, nor do rows without
-    id; vectors of different width are never compared.  Repeated rows count once.  Other columns are ignored.
-    """
-    base = stage(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "vec"]))
-    twins = Window.partitionBy("vec").orderBy("vec_id")
-    kept = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= k + 1).drop("twin")
-    cells = stage(
-        kept.select("vec_id", "vec", "width", "band", F.posexplode(codes_of(F.col("vec"), 1, tables)).alias("table", "one"))
-        .withColumn("code", F.element_at("one", 1)).drop("one"))
-    groups = F.lit(max(1, -(-cells.where("table = 0").count() // BLOCK)))
+
+def _found(cells: DataFrame, looks: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the best ``k`` of each query in each group of cells."""
     keys = ["width", "band", "table", "part"]
-    cells = cells.withColumn("part", F.pmod(F.col("code"), groups))
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "vec"]).withColumnRenamed("vec_id", "query_id")
-    bands = cells.select("width", F.col("band").alias("cell_band")).distinct()
-    looks = (
-        asked.drop("band").join(bands, "width").withColumnRenamed("cell_band", "band")
-        .select("query_id", "vec", "width", "band", F.posexplode(codes_of(F.col("vec"), probes, tables)).alias("table", "codes"))
-        .withColumn("part", F.explode(F.array_distinct(F.transform("codes", lambda c: F.pmod(c, groups))))))
-    looks = stage(looks)
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("held")).join(looks.groupBy(*keys).agg(F.count("*").alias("asking")), keys)
     sizes = stage(sizes.select(*keys, F.ceil(F.col("held") / BLOCK).alias("c_parts"), F.ceil(F.col("asking") / QUERY_BLOCK).alias("q_parts")))
 
@@ -151,14 +143,47 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
 
     left = dealt(cells, "c_part", "c_parts", "q_part", "q_parts", "vec_id")
     right = dealt(looks, "q_part", "q_parts", "c_part", "c_parts", "query_id")
-    keys = [*keys, "c_part", "q_part"]
+    both = [*keys, "c_part", "q_part"]
 
     def rank(found: pa.Table, asking: pa.Table) -> pa.Table:
         if not len(found) or not len(asking):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return _best(asking, found, k)
 
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    return left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+            tables: int = TABLES, probes: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query, its own id left out.
+
+    Every vector is indexed in ``tables`` tables under its nearest signed axis; a query looks into its ``probes`` nearest axes of
+    every table (by width if None, see ``probes_of``) and every band of norms; one that found fewer than ``k`` ids, or than there are
+    of its width, looks into all cells of its width as well.  All vectors found are ranked by the exact inner product in double precision,
+    ties to the smaller id.  Cells are dealt into groups, and queries as well, of bounded size; no pair leaves a group
+    but the best ``k`` of each query.  Of equal vectors only the ``k + 1`` smallest ids can be among the nearest, so only these are
+    compared.  Vectors that are null, empty, zero, or hold a null or non-finite number take no part, nor do rows without
+    id; vectors of different width are never compared.  Repeated rows count once.  Other columns are ignored.
+    """
+    base = stage(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "vec"]))
+    twins = Window.partitionBy("vec").orderBy("vec_id")
+    kept = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= k + 1).drop("twin")
+    cells = stage(
+        kept.select("vec_id", "vec", "width", "band", F.posexplode(codes_of(F.col("vec"), 1, tables)).alias("table", "one"))
+        .withColumn("code", F.element_at("one", 1)).drop("one"))
+    groups = F.lit(max(1, -(-cells.where("table = 0").count() // BLOCK)))
+    cells = cells.withColumn("part", F.pmod(F.col("code"), groups))
+    bands = cells.select("width", "band").distinct()
+    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "vec"]).withColumnRenamed("vec_id", "query_id").drop("band")
+    best = stage(_found(cells, _looks(asked, bands, groups, probes, tables), k))
+    held = cells.where("table = 0").groupBy("width").agg(F.countDistinct("vec_id").alias("held"))
+    wanted = asked.select("query_id", "width").distinct().join(held, "width").groupBy("query_id").agg(F.least(F.lit(k), F.sum("held")).alias("wanted"))
+    had = best.groupBy("query_id").agg(F.countDistinct("vec_id").alias("had"))
+    short = stage(wanted.join(had, "query_id", "left").where("coalesce(had, 0) < wanted").select("query_id"))
+    if not short.isEmpty():
+        # Every vector stands once in the first table.
+        again = asked.join(short, "query_id", "left_semi")
+        best = best.union(_found(cells.where("table = 0"), _looks(again, bands, groups, 1 << 30, 1), k))
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
