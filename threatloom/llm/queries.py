@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import ann, chat, licenses, media, mixing, neardup, packing, pii, quality, tokencount
+from threatloom.llm import ann, chat, groupjoin, licenses, media, mixing, neardup, packing, phrases, pii, quality, tokencount, whitening
 from threatloom.llm.common import table
 
 
@@ -83,6 +83,21 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.exploded(counts)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whitened(table(spark, sf_dir, "embeddings"), components=32)
+    # The exact sum may pass 64 bits in tables of billions of rows; it is null there, and whole in the operator's own result.
+    return done.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "copies")
+
+
+def op12_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupjoin.set_links(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_format": op2_chat_format,
@@ -94,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_fingerprints": op8_media_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_section_tokens": op10_section_tokens,
+    "op11_whitening": op11_whitening,
+    "op12_group_join": op12_group_join,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -155,4 +173,48 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   (sum(length(text_escaped) + CASE WHEN role_before = role THEN 7 ELSE 8 + 8 + 7 + length(role_escaped) END))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_group_join": f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWERED)} AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(sh) AS h, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+                          ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) END) AS sh FROM w WHERE ws IS NOT NULL)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM s x JOIN s y ON x.h = y.h AND x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b
+  WHERE 100 * common >= 90 * (ca.n + cb.n - common)),
+r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id
+FROM w JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWERED} AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, ws FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) WHERE len(ws) > 0),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(ws) >= size)
+  GROUP BY lang, size, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, k.k, h.f AS l, e.f AS r, (2000000::HUGEINT * k.a // (h.f + e.f))::BIGINT AS score FROM k
+  JOIN f h ON h.lang = k.lang AND h.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN f e ON e.lang = k.lang AND e.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[s:s + z - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, size - z + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS z FROM c)))
+  GROUP BY lang, phrase),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000""",
 }
