@@ -25,7 +25,7 @@ from threatloom.llm.common import byte_view, mixed, row_chunks, stage, word_hash
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SHARD_BYTES = 4 << 20
-FLUSH_KEYS, FLUSH_STRINGS = 4 << 20, 1 << 18  # a task reports when it holds so many
+FLUSH_KEYS, FLUSH_STRINGS = 1 << 20, 1 << 18  # a task reports when it holds so many
 BITS_LEAST, BITS_MOST = 20, 28  # a bit table has 2^20 to 2^28 bits: 32 MB at most
 _PROBES = 2
 _SPACE, _BREAK = 1, 2
@@ -144,31 +144,41 @@ def _strings(base: DataFrame, wanted) -> DataFrame:
     ``wanted`` gives (words in a phrase, first words, keys) of the phrases of a stretch of texts.  Tasks add up before they report.
     """
     def count(batches):
-        held: dict[tuple[str, str | None, int], list[int]] = {}
+        known: dict[int, int] = {}  # place of a key in the lists
+        keys, names, sizes, counts = [], [], [], []
 
         def out() -> pa.RecordBatch:
-            rows = list(held.items())
-            held.clear()
-            return pa.RecordBatch.from_pydict({
-                "lang": pa.array([k[0] for k, _ in rows], pa.string()), "phrase": pa.array([k[1] for k, _ in rows], pa.string()),
-                "size": pa.array([k[2] for k, _ in rows], pa.int32()), "key": pa.array([v[1] for _, v in rows], pa.int64()),
-                "count": pa.array([v[0] for _, v in rows], pa.int64())})
-
-        def add(name: tuple[str, str | None, int], number: int, key: int) -> None:
-            if name in held:
-                held[name][0] += number
-            else:
-                held[name] = [number, key]
+            batch = pa.RecordBatch.from_pydict({
+                "lang": pa.array([n[0] for n in names], pa.string()), "phrase": pa.array([n[1] for n in names], pa.string()),
+                "size": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.int64()), "count": pa.array(counts, pa.int64())})
+            known.clear()
+            for column in (keys, names, sizes, counts):
+                column.clear()
+            return batch
+
+        def add(key: int, name: tuple[str, str | None], size: int, number: int) -> None:
+            keys.append(key)
+            names.append(name)
+            sizes.append(size)
+            counts.append(number)
 
         for shard in _shards(batches, SHARD_BYTES):
             for lang, number in _sizes(shard).items():
-                add((lang, None, number), 1, 0)
-            for words in shard:
-                for size, first, keys in wanted(words):
-                    distinct, at, counts = np.unique(keys, return_index=True, return_counts=True)
-                    for place, key, number in zip(first[at].tolist(), distinct.view(np.int64).tolist(), counts.tolist(), strict=True):
-                        add((words.names[words.lang[place]], words.string(place, size), size), number, key)
-            if len(held) > FLUSH_STRINGS:
+                add(0, (lang, None), number, 1)
+            found = [(words, size, *phrases) for words in shard for size, *phrases in wanted(words)]
+            if not found:
+                continue
+            distinct, at, total = np.unique(np.concatenate([f[3] for f in found]), return_index=True, return_counts=True)
+            part = np.searchsorted(np.cumsum([len(f[3]) for f in found]), at, "right")
+            first = np.concatenate([f[2] for f in found])[at]
+            for key, which, place, number in zip(distinct.view(np.int64).tolist(), part.tolist(), first.tolist(), total.tolist(), strict=True):
+                if key in known:
+                    counts[known[key]] += number
+                else:
+                    known[key] = len(keys)
+                    words, size = found[which][:2]
+                    add(key, (words.names[words.lang[place]], words.string(place, size)), size, number)
+            if len(keys) > FLUSH_STRINGS:
                 yield out()
         yield out()
 
