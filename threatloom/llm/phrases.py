@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from threatloom.llm.common import byte_view, mixed, row_chunks, stage, word_hashes
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-SHARD_BYTES = 4 << 20
-FLUSH_KEYS, FLUSH_STRINGS = 1 << 20, 1 << 18  # a task reports when it holds so many
+SHARD_BYTES = 2 << 20
+FLUSH_KEYS, FLUSH_STRINGS = 1 << 18, 1 << 16  # a task reports when it holds so many
 BITS_LEAST, BITS_MOST = 20, 28  # a bit table has 2^20 to 2^28 bits: 32 MB at most
 _PROBES = 2
 _SPACE, _BREAK = 1, 2
@@ -53,23 +53,23 @@ class Words:
         shuts[lasts] = inside[lasts]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
         text = np.searchsorted(offsets, self.starts, "right") - 1
-        breaks = np.cumsum(kind == _BREAK)
-        self.piece = breaks[self.starts] + text
+        self.piece = np.cumsum(kind == _BREAK, dtype=np.int32)[self.starts] + text.astype(np.int32)
         names = sorted(set(langs))
         number = {name: i for i, name in enumerate(names)}
         self.names = names
-        self.lang = np.array([number[x] for x in langs], np.int64)[text] if len(text) else np.zeros(0, np.int64)
+        self.lang = np.array([number[x] for x in langs], np.int32)[text] if len(text) else np.zeros(0, np.int32)
         seeds = word_hashes(*_joined([n.encode() for n in names]))
-        self.seed = mixed(seeds)[self.lang] if len(text) else np.zeros(0, np.uint64)
+        self.seeds = mixed(seeds)
         self.hash = word_hashes(self.data, self.starts, self.ends)
-        self.keys = mixed(self.hash ^ self.seed)
+        self.keys = mixed(self.hash ^ self.seeds[self.lang]) if len(text) else np.zeros(0, np.uint64)
+        self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
 
     def phrases(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and key of every run of ``size`` words of one piece."""
         count = max(0, len(self.hash) - size + 1)
         if not count:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = self.seed[:count].copy()
+        total = self.seeds[self.lang[:count]]
         for j in range(size):
             total += self.hash[j : j + count] * _PLACE[j]
         whole = np.flatnonzero(self.piece[:count] == self.piece[size - 1 :])
