@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threatloom.llm.common import components, mixed, shingle_sets, stage
 
@@ -157,7 +158,7 @@ def _rows(lists: pa.Array) -> list[np.ndarray]:
 
 def _labels(base: DataFrame, reps: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
     """Component label of every class that is linked with another, as ``(node, label)``."""
-    spots = reps.select("rep", "n", F.explode("lead").alias("token"))
+    spots = reps.select("rep", "n", F.posexplode("lead").alias("place", "token"))
     shared = spots.groupBy("token").agg(F.count("*").alias("meets")).where("meets > 1")
     spots = stage(spots.join(shared, "token"))
     hubs = stage(_hub_pairs(spots, percent))
@@ -196,12 +197,18 @@ def _group_links(base: DataFrame, reps: DataFrame, spots: DataFrame, labels: Dat
     homes = named.join(crowd, ["label", "kin"]).withColumn("grp", F.xxhash64("label", "kin", block))
     homes = stage(homes.join(homes.groupBy("grp").agg(F.count("*").alias("held")), "grp").select("rep", "n", "label", "grp", "held"))
     # Shingles all of whose classes are of one component have nothing left to say.
-    open_spots = spots.select("token", "rep").join(homes, "rep")
+    open_spots = spots.select("token", "rep", "place").join(homes, "rep")
     torn = open_spots.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_spots = stage(open_spots.join(torn, "token", "left_semi"))
-    matrix = stage(open_spots.groupBy("token", "grp", "label", "held").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    asked = matrix.select("token", *[F.col(c).alias(f"g_{c}") for c in ("grp", "label", "held", "least", "most")])
-    sizes = (100 * F.col("n") >= percent * F.col("g_least")) & (100 * F.col("g_most") >= percent * F.col("n"))
+    # A lead shingle before this one that is not open itself is in no set of another component that has this one in its
+    # lead, so it lessens what they can have in common.
+    before = F.col("place") + 1 - F.row_number().over(Window.partitionBy("rep").orderBy("place", "token"))
+    open_spots = stage(open_spots.join(torn, "token", "left_semi").withColumn("reach", F.col("n") - before).drop("place"))
+    matrix = stage(
+        open_spots.groupBy("token", "grp", "label", "held").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach")))
+    asked = matrix.select("token", *[F.col(c).alias(f"g_{c}") for c in ("grp", "label", "held", "least", "most", "reach")])
+    other = F.greatest(F.col("g_least"), _required(F.col("n"), percent))
+    sizes = (100 * F.col("g_most") >= percent * F.col("n")) & (
+        (100 + percent) * F.least("reach", "g_reach") >= percent * (F.col("n") + other))
     # Each pair of groups once: members of the smaller one ask the larger one.
     once = F.struct("held", "grp") < F.struct(F.col("g_held").alias("held"), F.col("g_grp").alias("grp"))
     hits = open_spots.join(asked, "token").where((F.col("label") != F.col("g_label")) & sizes & once)
