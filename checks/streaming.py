@@ -8,6 +8,10 @@ SQL = {
     "stream_severity_windows": "WITH " + EV + " SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, severity, count(*) AS n FROM ev GROUP BY ALL",
     "stream_first_sightings": "WITH " + EV + " SELECT DISTINCT repo_id, dedup_key FROM ev",
     "stream_merged": "WITH " + EV + " SELECT repo_id, dedup_key, 'threat-' || min(ord) AS id, count(*) AS instances FROM ev GROUP BY ALL",
+    "stream_merged_lists": "WITH " + EV + """, ls AS (SELECT repo_id, dedup_key, ord, 'tag' AS kind, split_part(substr(dedup_key, 7), ' ', 1) AS value, 1 AS pos FROM ev
+  UNION ALL SELECT repo_id, dedup_key, ord, 'tag', severity, 2 FROM ev UNION ALL SELECT repo_id, dedup_key, ord, 'feed', 'feed-' || ord % 3, 1 FROM ev
+  UNION ALL SELECT repo_id, dedup_key, ord, 'feed', 'list-' || CAST(regexp_extract(dedup_key, '[0-9]+$', 0) AS BIGINT) % 2, 2 FROM ev)
+  SELECT repo_id, dedup_key, kind, value, min(ord) AS ord, CAST(min_by(pos, ord) AS BIGINT) AS pos FROM ls GROUP BY ALL""",
     "intake_log": ask("finding", "SELECT severity AS source, count(*) AS n_records, count(*) FILTER (WHERE NOT regexp_matches(error_type, '^\\[[0-9]')) AS n_errors FROM v_finding GROUP BY severity"),
     "intake_bad_records": ask("finding", "SELECT severity AS source, error_type AS record FROM v_finding WHERE NOT regexp_matches(error_type, '^\\[[0-9]')"),
     "technique_sets": ask("threat", ST + " SELECT DISTINCT repo_id, technique_id FROM v_threat JOIN st ON st.code = stride_primary"),

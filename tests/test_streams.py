@@ -2,7 +2,6 @@
 
 from helpers import threat, threats
 from pyspark.sql import functions as F
-from threatloom.operators import triage as t
 from threatloom.plans import registry_streaming as rs
 from threatloom.streaming import intake as st
 
@@ -17,7 +16,7 @@ def folder_of_files(spark, tmp_path):
 
 def test_one_file_and_several_give_the_same(spark, tmp_path):
     many = folder_of_files(spark, tmp_path)
-    for name in ("stream_merged", "stream_first_sightings", "stream_severity_windows"):
+    for name in ("stream_merged", "stream_merged_lists", "stream_first_sightings", "stream_severity_windows"):
         one, several = (sorted(map(str, rs.QUERIES[name](spark, d).collect())) for d in (SMALL, many))
         assert one == several and one
 
@@ -27,16 +26,6 @@ def test_windows_add_up_to_all_events(spark):
     assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SMALL}/events.parquet").count()
 
 
-def test_two_batches_count_like_one_merge(spark, tmp_path):
-    rows = [threat(1, count=5), threat(2, count=7), threat(3, title="other", count=0), threat(4, count=2)]
-    whole = {r.dedup_key: r.instance_count for r in t.merge_duplicates(threats(spark, *rows), "2024-02-01 00:00:00").collect()}
-    fold = st.merge_into(str(tmp_path / "merged"), spark, 2)
-    fold(threats(spark, *rows[:2]), 0)
-    fold(threats(spark, *rows[2:]), 1)
-    fold(threats(spark, *rows[2:]), 1)  # a repeated batch changes nothing
-    assert {r.dedup_key: r.instances for r in st.newest_version(spark, str(tmp_path / "merged")).collect()} == whole
-
-
 def test_rows_past_the_age_limit_are_dropped(spark, tmp_path):
     folder, schema = str(tmp_path / "in"), threats(spark).schema
     for number, at in enumerate(["2024-02-01 00:00:00", "2024-02-02 00:00:00", "2024-01-02 00:00:00"]):

@@ -83,18 +83,27 @@ def _row_values(kind: str, values: Column) -> Column:
     )
 
 
+def list_values() -> Column:
+    """Distinct tags, feeds and indicators of a row, as ``kind, value, pos, copies``."""
+    return F.concat(
+        _row_values("tag", F.col("tags")),
+        _row_values("feed", F.col("source_feeds")),
+        _row_values("indicator", F.transform("indicators", lambda i: i["value"])),
+    )
+
+
+def carried(keyed: DataFrame) -> list[str]:
+    """Columns that the first row of a key gives."""
+    return [c for c in keyed.columns if c not in KEY + ["tags", "source_feeds", "indicators"]]
+
+
 def first_appearances(keyed: DataFrame) -> DataFrame:
     """Per merged threat and list value: the row and position it first appears at.
 
     One row per (repo, key, kind, value), so a hot key spreads over its values.
     """
-    values = F.concat(
-        _row_values("tag", F.col("tags")),
-        _row_values("feed", F.col("source_feeds")),
-        _row_values("indicator", F.transform("indicators", lambda i: i["value"])),
-    )
     return (
-        keyed.select(*KEY, "ord", F.explode(values).alias("item"))
+        keyed.select(*KEY, "ord", F.explode(list_values()).alias("item"))
         .groupBy(*KEY, F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
         .agg(F.min(F.struct("ord", "item.pos", "item.copies")).alias("first"))
     )
@@ -104,26 +113,30 @@ def with_key(threats: DataFrame, key_chars: int | None = KEY_CHARS) -> DataFrame
     return threats.withColumn("dedup_key", dedup_key(key_chars))
 
 
-def merge_duplicates(threats: DataFrame, as_of) -> DataFrame:
+def merge_duplicates(threats: DataFrame, as_of, key_chars: int | None = KEY_CHARS) -> DataFrame:
     """Merge threats that share a key; the first row (by ``ord``) gives the fields.
 
     The wide row is reduced on the map side, the lists travel as distinct values only, and the
     number of merged indicators is counted, not collected: a key that holds a third of all rows
     costs no more per task than any other.  ``merged_indicators`` lists the indicators.
     """
-    keyed = with_key(threats)
-    carried = [c for c in keyed.columns if c not in KEY + ["tags", "source_feeds", "indicators"]]
+    keyed = with_key(threats, key_chars)
     heads = keyed.groupBy(*KEY).agg(
-        F.min_by(F.struct(*carried), "ord").alias("first"),
+        F.min_by(F.struct(*carried(keyed)), "ord").alias("first"),
         F.count("*").alias("n_rows"),
         F.max(scores.severity_rank(F.col("severity"))).alias("top_rank"),
     )
+    return assembled(heads, first_appearances(keyed), as_of)
+
+
+def assembled(heads: DataFrame, values: DataFrame, as_of) -> DataFrame:
+    """Merged threats from the head of each key (``first, n_rows, top_rank``) and its ``first_appearances``."""
     entry = F.struct(F.col("first.ord").alias("ord"), F.col("first.pos").alias("pos"), "value")
     ordered = lambda kind: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))), lambda e: e["value"]
     )
     # Tags and feeds are vocabularies: what is collected here is one entry per distinct word.
-    lists = first_appearances(keyed).groupBy(*KEY).agg(
+    lists = values.groupBy(*KEY).agg(
         ordered("tag").alias("tags"),
         ordered("feed").alias("source_feeds"),
         F.coalesce(
@@ -152,10 +165,14 @@ def merge_duplicates(threats: DataFrame, as_of) -> DataFrame:
     return merged.withColumn("priority", scores.threat_priority(moment(as_of))).drop("top_rank")
 
 
-def merged_indicators(threats: DataFrame) -> DataFrame:
+def merged_indicators(threats: DataFrame, key_chars: int | None = KEY_CHARS) -> DataFrame:
     """The indicators of each merged threat, one row per value, in order of first appearance."""
+    return indicator_rows(first_appearances(with_key(threats, key_chars)))
+
+
+def indicator_rows(values: DataFrame) -> DataFrame:
     return (
-        first_appearances(with_key(threats)).where(F.col("kind") == "indicator")
+        values.where(F.col("kind") == "indicator")
         .select(*KEY, "value", F.col("first.ord").alias("ord"), F.col("first.copies").cast("bigint").alias("copies"))
     )
 
@@ -176,8 +193,9 @@ def prioritized(threats: DataFrame) -> DataFrame:
     return threats.orderBy(F.desc("priority"), "repo_id", "ord")
 
 
-def triage(threats: DataFrame, as_of, min_priority: float = 0.0, max_age_days: int = 90) -> DataFrame:
-    merged = merge_duplicates(enrich(normalize(threats, as_of)), as_of)
+def triage(threats: DataFrame, as_of, min_priority: float = 0.0, max_age_days: int = 90, key_chars: int | None = KEY_CHARS) -> DataFrame:
+    """Triaged threats; ``key_chars=None`` takes whole titles, in merging and where a description stands in."""
+    merged = merge_duplicates(enrich(normalize(threats, as_of, key_chars)), as_of, key_chars)
     return keep(merged, as_of, min_priority, max_age_days)
 
 

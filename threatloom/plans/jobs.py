@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators import (
-    archetypes, assets, classify, compliance, diagram, findings, flows, manifests, mapping, paths, reports, rules, snapshots, techniques,
+    archetypes, assets, best_paths, classify, compliance, diagram, findings, flows, manifests, mapping, paths, reports, rules, snapshots, techniques,
     triage)
 from threatloom.session import checkpointed
 
 
 def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_priority: float = 0.0,
-         max_age_days: int = 90, top_paths: int = 10) -> dict[str, DataFrame]:
+         max_age_days: int = 90, top_paths: int = 10, key_chars: int | None = triage.KEY_CHARS) -> dict[str, DataFrame]:
     """Threat model of every repository in ``files`` (repo_id, path, content).
 
-    Stage tables that several branches read are written once; all else stays lazy.
+    Stage tables that several branches read are written once; all else stays lazy.  ``critical_paths`` are found by bounds; only
+    ``paths`` and ``stats`` list all paths.  ``key_chars=None`` merges by whole titles.
     """
     languages = checkpointed(manifests.languages(files))
     frameworks = checkpointed(manifests.frameworks(files, languages))
@@ -32,22 +33,23 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
     if feed_threats is not None:
         raw = triage.union_sources(raw, feed_threats.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0")))
     raw = checkpointed(raw)  # triage reads it for the rows and again for their lists
-    threats = checkpointed(techniques.with_technique_ids(triage.triage(raw, as_of, min_priority, max_age_days)))
+    threats = checkpointed(techniques.with_technique_ids(triage.triage(raw, as_of, min_priority, max_age_days, key_chars)))
     flow_rows = flows.flow_summary(sites)
     affected = mapping.affected_dependencies(
-        threats, triage.merged_indicators(triage.normalize(raw, as_of)), dependencies)
+        threats, triage.merged_indicators(triage.normalize(raw, as_of, key_chars), key_chars), dependencies)
     mapped = checkpointed(mapping.map_threats(threats, mapping.repository_counts(found, flow_rows), affected))
     node_rows = checkpointed(diagram.nodes(found, threats))
     edge_rows = checkpointed(diagram.edges(sites))
     graph_nodes = checkpointed(paths.graph_nodes(node_rows, edge_rows, diagram.trust_zones(node_rows)))
-    scored = paths.score_paths(paths.attack_paths(graph_nodes, paths.graph_edges(edge_rows, graph_nodes)), graph_nodes)
+    graph_edges = checkpointed(paths.graph_edges(edge_rows, graph_nodes))
+    scored = paths.score_paths(paths.attack_paths(graph_nodes, graph_edges), graph_nodes)
     return {
         "frameworks": frameworks, "profiles": profiles, "adjustments": archetypes.adjustments(profiles),
         "maestro": classify.classify_maestro(
             inputs, F.col("description"), F.col("technologies"), {"has_agents": F.col("has_agents")}),
         "assets": found, "sites": sites, "flows": flow_rows, "dependencies": dependencies, "threats": threats,
         "mapped": mapped, "nodes": graph_nodes, "edges": edge_rows, "paths": scored,
-        "critical_paths": paths.critical_paths(scored, top_paths),
+        "critical_paths": best_paths.top_scored(graph_nodes, graph_edges, top_paths),
         "mitigations": mapping.code_mitigations(mapped, languages).unionByName(
             mapping.patch_mitigations(affected, mapped, languages)),
         "stats": reports.scan_stats(found, flow_rows, threats, mapped, scored),

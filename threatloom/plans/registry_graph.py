@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatloom.functions import scores
+from threatloom.operators import best_paths as bp
 from threatloom.operators import diagram as dg
 from threatloom.operators import flows as fl
 from threatloom.operators import paths as pt
@@ -63,8 +64,14 @@ def _paths(spark, d):
 
 
 def _stories(spark, d):
-    rows, graph_nodes = scored(spark, d)
-    return pt.narratives(pt.critical_paths(rows, 3), graph_nodes).select("repo_id", "path_key", "narrative")
+    graph_nodes, graph_edges = graph(spark, d)
+    top = bp.top_scored(graph_nodes, checkpointed(graph_edges), 3)
+    return pt.narratives(top, graph_nodes).select("repo_id", "path_key", "narrative")
+
+
+def _critical(spark, d):
+    graph_nodes, graph_edges = graph(spark, d)
+    return bp.top_scored(graph_nodes, checkpointed(graph_edges), 5).select("repo_id", "path_key", F.col("rank").cast("bigint").alias("rank"))
 
 
 def scan_stats(spark, d):
@@ -88,8 +95,7 @@ QUERIES = {
     "graph_nodes": _graph_nodes,
     "graph_edges": _graph_edges,
     "attack_paths": _paths,
-    "critical_paths": lambda s, d: pt.critical_paths(scored(s, d)[0], 5).select(
-        "repo_id", "path_key", F.col("rank").cast("bigint").alias("rank")),
+    "critical_paths": _critical,
     "easiest_paths": lambda s, d: pt.easiest_paths(*graph(s, d)).select(
         "repo_id", "entry", "target", F.round("total_cost", 6).alias("total_cost")),
     "path_narratives": _stories,

@@ -10,6 +10,7 @@ from threatloom.session import work_folder
 from threatloom.sources import files as fs
 from threatloom.sources import sample_views as v
 from threatloom.streaming import intake as st
+from threatloom.streaming import merge as mg
 
 
 def event_stream(spark, d):
@@ -35,19 +36,31 @@ def run(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def event_threats(spark, d):
+    """The same stream with tags and feeds to merge."""
+    k = F.regexp_extract("title", "[0-9]+$", 0).cast("bigint")
+    return event_stream(spark, d).withColumns({
+        "tags": F.array(F.split_part("title", F.lit(" "), F.lit(1)), "severity"),
+        "source_feeds": F.array(F.concat(F.lit("feed-"), (F.col("ord") % 3).cast("string")), F.concat(F.lit("list-"), (k % 2).cast("string")))})
+
+
 def merged(spark, d):
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    writer = event_stream(spark, d).writeStream.foreachBatch(st.merge_into(f"{folder}/merged", spark))
-    query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return st.newest_version(spark, f"{folder}/merged")
+    mg.start(event_threats(spark, d), f"{folder}/merged", f"{folder}/state").awaitTermination()
+    return mg.state(spark, f"{folder}/merged")
+
+
+def merged_heads(spark, d):
+    instances = F.greatest("first.instance_count", F.lit(1)) + F.col("n_rows") - 1
+    return mg.heads(merged(spark, d)).select("repo_id", "dedup_key", "first.id", instances.alias("instances"))
 
 
 def windows(spark, d):
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = st.severity_windows(event_stream(spark, d))
-    st.start_updates(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return st.latest(spark, f"{folder}/out", "window_start timestamp, severity string, n bigint", ["window_start", "severity"])
+    keys = ["window_start", "severity"]
+    st.start_updates(stream, f"{folder}/out", f"{folder}/state", keys).awaitTermination()
+    return st.latest(spark, f"{folder}/out", keys)
 
 
 QUERIES = {
@@ -55,7 +68,9 @@ QUERIES = {
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "n"),
     "stream_first_sightings": lambda s, d: run(s, st.first_sightings(event_stream(s, d), "40 days")).select(
         "repo_id", "dedup_key"),
-    "stream_merged": lambda s, d: merged(s, d).select("repo_id", "dedup_key", "first.id", "instances"),
+    "stream_merged": merged_heads,
+    "stream_merged_lists": lambda s, d: mg.values(merged(s, d)).select(
+        "repo_id", "dedup_key", "kind", "value", F.col("first.ord").alias("ord"), F.col("first.pos").cast("bigint").alias("pos")),
     "intake_log": lambda s, d: fs.intake_log(v.findings(s, d), "severity", "error_type", "array<int>"),
     "intake_bad_records": lambda s, d: fs.bad_records(v.findings(s, d), "severity", "error_type", "array<int>"),
     "technique_sets": lambda s, d: te.with_technique_ids(v.threats(s, d)).select(

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.functions import scores
 from threatloom.operators.triage import moment, with_key
+from threatloom.streaming import log
 
 
 def read_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet") -> DataFrame:
@@ -45,67 +46,18 @@ def severity_windows(findings: DataFrame, delay: str = "1 hour", width: str = "1
     )
 
 
-def start_updates(stream: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append what a stateful stream changes, batch by batch; ``latest`` reads the newest state of each key.
+def start_updates(stream: DataFrame, target: str, checkpoint: str, keys: list[str], every: str | None = None) -> StreamingQuery:
+    """Write what a stateful stream changes, batch by batch; ``latest`` reads the newest state of each key.
 
     A batch that is run again after a failure replaces its own part.
     """
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
-
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(log.writer_to(target, keys))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def latest(spark: SparkSession, target: str, schema, keys: list[str]) -> DataFrame:
-    """Newest row of each key among the parts that ``start_updates`` wrote, open windows included."""
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(target)
-    held = [c for c in rows.columns if c not in keys + ["batch"]]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in held])
-
-
-def summarize(findings: DataFrame) -> DataFrame:
-    """Mergeable summary per dedupe key: first row, number of rows, highest severity."""
-    first = F.struct("id", "title", "description", "severity", "discovered_at", "instance_count")
-    return counted(with_key(findings).groupBy("repo_id", "dedup_key").agg(
-        F.min("ord").alias("ord"), F.min_by(first, "ord").alias("first"), F.count("*").alias("n_rows"),
-        F.max(scores.severity_rank(F.col("severity"))).alias("rank")))
-
-
-def combine(old: DataFrame, new: DataFrame) -> DataFrame:
-    both = old.unionByName(new)
-    return counted(both.groupBy("repo_id", "dedup_key").agg(
-        F.min("ord").alias("ord_"), F.min_by("first", "ord").alias("first"), F.sum("n_rows").alias("n_rows"),
-        F.max("rank").alias("rank")).withColumnRenamed("ord_", "ord"))
-
-
-def counted(summary: DataFrame) -> DataFrame:
-    """Instances by the rule of the batch merge: those of the first row, and one for every further row."""
-    return summary.withColumn("instances", F.greatest("first.instance_count", F.lit(1)) + F.col("n_rows") - 1)
-
-
-def merge_into(folder: str, spark: SparkSession, buckets: int | None = None):
-    """foreachBatch function that folds each batch into a table of merged threats.
-
-    Version ``n`` of the table is written to ``folder/version=n`` from version n-1 and batch n, so a
-    batch that is run again after a failure writes the same version again.  ``buckets`` is the number of files of a version,
-    by default that of shuffle partitions.
-    """
-    parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = summarize(batch)
-        if epoch > 0:
-            new = combine(spark.read.parquet(f"{folder}/version={epoch - 1}"), new)
-        new.repartition(parts, "repo_id", "dedup_key").write.mode("overwrite").parquet(f"{folder}/version={epoch}")
-    return fold
-
-
-def newest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """The last version that ``merge_into`` wrote, found from the versions that are there."""
-    rows = spark.read.parquet(folder)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == last).drop("version")
+def latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Newest row of each key that ``start_updates`` wrote, open windows included."""
+    return log.read(spark, target, keys)
 
 
 def still_fresh(findings: DataFrame, as_of, max_age_days: int) -> DataFrame:
