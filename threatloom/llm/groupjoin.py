@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threatloom.llm.common import components, mixed, shingle_sets, stage
+from threatloom.llm.common import components, mixed, shingle_sets, small_batches, stage
 
 SLOTS = 1 << 18
 MATCHES = 4
@@ -100,9 +100,11 @@ def set_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     class, or to none (null) if no row with an id has that set.  Other columns are ignored.  Texts are read whole.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    loads = slot_loads(base, words)
+    with small_batches(docs.sparkSession):
+        loads = slot_loads(base, words)
     sign = F.arrow_udf(lambda texts: signatures(texts, words, percent, loads), _SQL_SIGNED)
-    signed = stage(base.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"))
+    with small_batches(docs.sparkSession):
+        signed = stage(base.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"))
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
     reps = stage(
         named.groupBy("set_a", "set_b")
@@ -135,7 +137,8 @@ def _sets_of(base: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         return pa.array([found.view(np.int64) for found in shingle_sets(texts, words)], pa.list_(pa.int64()))
 
     chosen = base.join(ids, base.doc_id == ids.rep, "left_semi")
-    return stage(chosen.select(F.col("doc_id").alias("rep"), tokens("text").alias("tokens")).where("size(tokens) > 0"))
+    with small_batches(base.sparkSession):
+        return stage(chosen.select(F.col("doc_id").alias("rep"), tokens("text").alias("tokens")).where("size(tokens) > 0"))
 
 
 def _matching(percent: int):
