@@ -5,6 +5,7 @@ EV = """ev AS (SELECT 'repo-' || user_id AS repo_id, event_id AS ord, 'title:' |
   CASE WHEN value >= 80 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS severity, ts FROM events)"""
 
 SQL = {
+    "feed_records": "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS place FROM events",
     "stream_severity_windows": "WITH " + EV + " SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, severity, count(*) AS n FROM ev GROUP BY ALL",
     "stream_first_sightings": "WITH " + EV + " SELECT DISTINCT repo_id, dedup_key FROM ev",
     "stream_merged": "WITH " + EV + " SELECT repo_id, dedup_key, 'threat-' || min(ord) AS id, count(*) AS instances FROM ev GROUP BY ALL",

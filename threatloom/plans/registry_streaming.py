@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threatloom.operators import techniques as te
 from threatloom.plans import AS_OF
 from threatloom.session import work_folder
+from threatloom.sources import feed as fd
 from threatloom.sources import files as fs
 from threatloom.sources import sample_views as v
 from threatloom.streaming import intake as st
@@ -63,7 +64,21 @@ def windows(spark, d):
     return st.latest(spark, f"{folder}/out", keys)
 
 
+def feed_records(spark, d, size=500):
+    """The events as a vendor's feed would leave them, ``size`` to a page, read back through the feed source."""
+    folder = f"{work_folder(spark)}/feed-{uuid.uuid4().hex}"
+    item = F.struct("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("item"))
+    number = F.floor(F.col("event_id") / size)
+    pages = spark.read.parquet(f"{d}/events.parquet").groupBy(F.format_string("%010d", number).alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda e: e["item"]).alias("items"))
+    text = F.concat(F.lit('{"items": ['), F.array_join("items", ", "), F.lit("]}"))
+    pages.select("page", text.alias("value")).write.partitionBy("page").text(folder)
+    spark.dataSource.register(fd.PagedFeed)
+    return fd.records(spark.read.format(fd.NAME).load(folder), "event_id bigint, user_id bigint, event_type string")
+
+
 QUERIES = {
+    "feed_records": lambda s, d: feed_records(s, d).select("event_id", "user_id", "event_type", F.col("place").cast("bigint").alias("place")),
     "stream_severity_windows": lambda s, d: windows(s, d).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "n"),
     "stream_first_sightings": lambda s, d: run(s, st.first_sightings(event_stream(s, d), "40 days")).select(
