@@ -8,6 +8,7 @@ import wave
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from threatloom.llm import ann, chat, media, mixing, packing, tokencount
 from threatloom.llm.tokens import byte_bpe, default_path
@@ -81,9 +82,13 @@ def test_packing_covers_every_token_once(spark):
 
 
 def test_fast_merging_gives_the_ids_of_the_file():
-    bpe = byte_bpe(default_path())
-    for text in ["", " ", "a  b c d\x85e", "It's <|endoftext|> don't", "\t\n  x\r\n", "1234 ½ ²", "ﬁ 漢字 \U0001f600", "a" * 5000]:
-        assert bpe.ids(text).tolist() == bpe._exact.encode(text, add_special_tokens=False).ids
+    bpe, plain = byte_bpe(default_path()), Tokenizer.from_file(default_path())
+    more = ["<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "\u6f22 <|endoftext|> y"]
+    for text in [*more, "", " ", "a  b c d\x85e", "It's <|endoftext|> don't", "\t\n  x\r\n", "1234 ½ ²", "ﬁ 漢字 \U0001f600", "a" * 5000]:
+        ids = bpe.ids(text).tolist()
+        assert ids == plain.encode(text, add_special_tokens=False).ids
+        assert bpe.byte_length[ids].sum() == len(text.encode())
+    assert bpe.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3.0):

@@ -28,11 +28,11 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Ids as the ``tokenizers`` library gives them for the file, special-token strings being ordinary text.
+    """Ids as ``encode(text, add_special_tokens=False)`` of the ``tokenizers`` library gives them for the file.
 
     Merging runs in ``tiktoken`` with the ranks of the same file, several times faster.  The two libraries read white
     space and character classes from different Unicode tables, so a text with characters from U+3000 on goes to
-    ``tokenizers`` itself.
+    ``tokenizers`` itself; so does one that holds the string of an added token, such as ``<|endoftext|>``, which is one id.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,24 +40,28 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"]
+        added = {token["content"]: token["id"] for token in content.get("added_tokens", [])}
         sign = _byte_of_sign()
         pieces: dict[bytes, int] = {}
         for token, number in vocabulary.items():
-            if all(s in sign for s in token) and token != "<|endoftext|>":
+            if all(s in sign for s in token) and token not in added:
                 pieces[bytes(sign[s] for s in token)] = number
-        size = max(vocabulary.values()) + 1
+        size = max([*vocabulary.values(), *added.values()]) + 1
         self.byte_length = np.zeros(size, np.int64)
         self.ends_sentence = np.zeros(size, bool)
         for piece, number in pieces.items():
             self.byte_length[number] = len(piece)
             self.ends_sentence[number] = piece[-1:] in b".!?\n" or b"\n" in piece
+        for token, number in added.items():
+            self.byte_length[number] = len(token.encode())
+        self._added = tuple(added)
         self._fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=pieces, special_tokens={})
         self._exact = Tokenizer.from_file(path)
-        self._exact.encode_special_tokens = True
 
     def ids(self, text: str) -> np.ndarray:
-        if text.isascii() or not _WIDE.search(text):
+        if (text.isascii() or not _WIDE.search(text)) and not any(token in text for token in self._added):
             return np.array(self._fast.encode_ordinary(text), np.uint32)
         return np.array(self._exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
