@@ -242,3 +242,11 @@ def test_wrapped_and_embedded_notices_are_found(spark):
     got = {r.key: (r.own_license, r.own_score) for r in licenses.scan(files).collect()}
     assert [got[n][0] for n in range(len(rows))] == [name for name, _ in rows]
     assert all(got[n][1] > 0.9 for n in range(len(rows) - 1))
+
+
+def test_pseudonyms_keep_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "mail jane@doe.org", "a", "b", "c")], "doc_id long, text string, _found string, _FOUND_ string, found string")
+    got = pii.pseudonymised(rows)
+    assert got.columns == [*rows.columns, "pii_found"]
+    row = got.first()
+    assert (row["_found"], row["_FOUND_"], row["found"], row["pii_found"]) == ("a", "b", "c", {"email": 1}) and "jane" not in row["text"]

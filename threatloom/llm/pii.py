@@ -280,14 +280,16 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, found
     columns are kept; a column named like ``found_col`` is replaced.  The plan is one narrow projection: rows never move.
     """
     text = F.col(text_col).cast("string")
-    parts = docs.withColumn("_found", F.when(text.rlike(_HINT), F.transform(
+    # A name that no column of the table has, in any case of letters.
+    name = "_found" + "_" * max(map(len, [*docs.columns, ""]))
+    parts = docs.withColumn(name, F.when(text.rlike(_HINT), F.transform(
         F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))))
-    found = F.col("_found")
+    found = F.col(name)
     between = F.split(text, ANY)
     replaced = F.concat_ws("", F.flatten(F.zip_with(
         between, F.transform(found, lambda f: pseudonym(f, key)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
     kinds = F.filter(F.transform(found, lambda f: f.kind), lambda k: k.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    return parts.withColumn(text_col, F.when(F.size("_found") > 0, replaced).otherwise(text)).withColumn(
-        found_col, F.coalesce(counts, empty)).drop("_found")
+    return parts.withColumn(text_col, F.when(F.size(name) > 0, replaced).otherwise(text)).withColumn(
+        found_col, F.coalesce(counts, empty)).drop(name)
