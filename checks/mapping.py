@@ -59,6 +59,7 @@ SQL = {
           coalesce(fm.n, 0) AS total_threats, coalesce(c, 0) AS n_critical, coalesce(h, 0) AS n_high, coalesce(m, 0) AS n_medium, coalesce(l, 0) AS n_low, coalesce(i, 0) AS n_info, CAST(coalesce(round(r, 6), 0) AS DOUBLE) AS average_risk
         FROM v_repository v LEFT JOIN fa USING (repo_id) LEFT JOIN ff USING (repo_id) LEFT JOIN fm USING (repo_id)"""),
     "top_threat_per_category": ask("asset threat dependency", MAPPED + " SELECT repo_id, stride_primary, id, CAST(round(risk, 6) AS DOUBLE) AS risk FROM mapped WHERE stride_primary IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id, stride_primary ORDER BY risk DESC, ord) = 1"),
+    "top_threats_by_severity": ask("threat", MERGE.strip() + " SELECT repo_id, id, severity, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END, ord) AS rank FROM triaged) WHERE rank <= 20"),
     "top_threats_by_priority": ask("threat", MERGE.strip() + " SELECT repo_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY priority DESC, ord) AS rank FROM triaged) WHERE rank <= 5"),
     "threats_high_priority": ask("threat", MERGE.strip() + " SELECT repo_id, id FROM triaged WHERE priority >= 0.5 AND priority < 0.7"),
     "threats_critical_priority": ask("threat", MERGE.strip() + " SELECT repo_id, id FROM triaged WHERE priority >= 0.7"),

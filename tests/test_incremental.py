@@ -7,6 +7,7 @@ from helpers import AS_OF, threat, threats
 from pyspark.sql import functions as F
 from threatloom.operators import best_paths as bp
 from threatloom.operators import paths as pt
+from threatloom.operators import reports as rp
 from threatloom.operators import triage as t
 from threatloom.streaming import intake as st
 from threatloom.streaming import log, merge
@@ -68,6 +69,14 @@ def test_titles_can_be_merged_whole(spark):
     assert {r.title for r in t.triage(rows, AS_OF, key_chars=None).collect()} == {long + "a", long + "b"}
 
 
+def test_threats_by_severity(spark):
+    rows = threats(spark, threat(1, severity="low"), threat(2, severity="critical"), threat(3, severity="info"), threat(4, severity="critical"),
+                   threat(5, severity="high", repo="a"))
+    order = [("a", 5), ("r", 2), ("r", 4), ("r", 1), ("r", 3)]
+    assert [(r.repo_id, r.ord) for r in rp.by_severity(rows).collect()] == order
+    assert {(r.repo_id, r.rank, r.ord) for r in rp.top_by_severity(rows, 2).collect()} == {("a", 1, 5), ("r", 1, 2), ("r", 2, 4)}
+
+
 def random_graph(seed, nodes, density, repos=("r", "s")):
     rng = random.Random(seed)
     node_rows, edge_rows = [], []

@@ -117,6 +117,16 @@ def top_by_priority(threats: DataFrame, limit: int = 5) -> DataFrame:
     return first_per(threats, ["repo_id"], [F.desc("priority"), "ord", "id"], limit)
 
 
+def by_severity(threats: DataFrame) -> DataFrame:
+    """All threats, worst severity first within each repository; a range sort, so no repository lies in one task."""
+    return threats.orderBy("repo_id", F.desc(scores.severity_rank(F.col("severity"))), "ord", "id")
+
+
+def top_by_severity(threats: DataFrame, limit: int = 20) -> DataFrame:
+    """The first threats of each repository in that order, with their rank."""
+    return first_per(threats, ["repo_id"], [F.desc(scores.severity_rank(F.col("severity"))), "ord", "id"], limit)
+
+
 def in_priority_band(threats: DataFrame, low: float, high: float | None = None) -> DataFrame:
     kept = threats.where(F.col("priority") >= low)
     return kept if high is None else kept.where(F.col("priority") < high)

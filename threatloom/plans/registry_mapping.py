@@ -82,6 +82,8 @@ QUERIES = {
     "repository_overview": _overview,
     "top_threat_per_category": lambda s, d: rp.top_threat_per_category(mapped(s, d)).select(
         "repo_id", "stride_primary", "id", r6("risk")),
+    "top_threats_by_severity": lambda s, d: rp.top_by_severity(triaged(s, d)).select(
+        "repo_id", "id", "severity", F.col("rank").cast("bigint").alias("rank")),
     "top_threats_by_priority": lambda s, d: rp.top_by_priority(triaged(s, d)).select(
         "repo_id", "id", F.col("rank").cast("bigint").alias("rank")),
     "threats_high_priority": lambda s, d: rp.in_priority_band(triaged(s, d), 0.5, 0.7).select("repo_id", "id"),
