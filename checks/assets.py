@@ -94,6 +94,7 @@ SQL = {
     "rule_hits_pages": "WITH " + doc_lines("pages", "page_id", "html") + ", h AS (" + hits("lines", "page_id, line_no") + ") SELECT page_id, rule_id, sub_id, count(*) AS n_lines FROM h GROUP BY ALL",
     "assets_detected": ask("code_line", detect("v_code_line")),
     "assets_of_documents": "WITH " + doc_lines() + ", src AS (SELECT CAST(doc_id AS VARCHAR) AS repo_id, 'notes.py' AS file, line_no AS ord, line_no, line FROM lines), r AS (" + detect("src") + ") SELECT repo_id, id, type, name FROM r",
+    "assets_rescanned": "WITH " + doc_lines() + ", src AS (SELECT CAST(doc_id AS VARCHAR) AS repo_id, 'notes.py' AS file, line_no AS ord, line_no, line FROM lines), r AS (" + detect("src") + ") SELECT repo_id, id, type, name FROM r",
     "assets_by_type_filter": ask("asset", "SELECT repo_id, CAST(ord AS VARCHAR) AS ord, id, name FROM v_asset WHERE type = 'api'"),
     "flow_summary": ask("asset", FLOWS + " SELECT repo_id, src_file AS file, kind, count(*) AS n_flows, count(*) FILTER (WHERE sensitive) AS n_sensitive FROM flow GROUP BY ALL"),
     "flow_endpoints": ask("asset", FLOWS + """ SELECT repo_id, src_id AS id, kind, 'source' AS role, count(*) AS n_flows FROM flow GROUP BY ALL

@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.operators import (
-    archetypes, assets, best_paths, classify, compliance, diagram, findings, flows, manifests, mapping, paths, reports, rules, snapshots, techniques,
-    triage)
+    archetypes, assets, best_paths, classify, compliance, diagram, findings, flows, incremental, manifests, mapping, paths, reports, rules, snapshots,
+    techniques, triage)
 from threatloom.session import checkpointed
+from threatloom.sources import files as trees
+
+
+def detected(files: DataFrame) -> DataFrame:
+    """Assets of code files (repo_id, path, content), file by file."""
+    lines = assets.split_lines(assets.code_files(files)).select(
+        "repo_id", F.col("path").alias("file"), "line_no", "line",
+        # Files in the order of their paths, lines in order; a text key never runs out of room.
+        F.concat("path", F.lit("\x00"), F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("ord"))
+    return assets.detect_assets(lines)
+
+
+def rescan(files: DataFrame, last_index: DataFrame, last_assets: DataFrame) -> dict[str, DataFrame]:
+    """``index``, ``assets`` and ``changes`` of a scan after an earlier one, told by the hash of each file's text.  Keep index and
+    assets for the next time, and pass ``assets`` to ``scan`` as ``found``.  For a first scan pass empty tables."""
+    index, found, changed = incremental.rescan(files, last_index, last_assets, detected)
+    return {"index": index, "assets": checkpointed(found), "changes": changed}
+
+
+def rescan_trees(spark: SparkSession, root: str, last_index: DataFrame, last_assets: DataFrame) -> dict[str, DataFrame]:
+    """``rescan`` of the trees below ``root``; only files whose size or time of change differs, or that are new, are opened.
+
+    The index carries ``size`` and ``modified`` too.  A file that was touched and has its old text keeps its assets.  A text replaced
+    by another of its size that carries the old time is not seen; ``rescan`` sees it.
+    """
+    listed = checkpointed(trees.list_trees(spark, root))
+    stamp = {name: name for name in ("repo_id", "path", "size", "modified")}
+    opened = checkpointed(incremental.without(listed, last_index, stamp).select("repo_id", "path", "size", "modified"))
+    files = checkpointed(trees.read_listed(spark, root, opened))
+    fresh = opened.join(incremental.file_index(files), ["repo_id", "path"])
+    index = checkpointed(incremental.without(last_index, incremental.without(listed, opened, {"repo_id": "repo_id", "path": "path"}),
+                                             stamp, "left_semi").select(*fresh.columns).unionByName(fresh))
+    changed = checkpointed(incremental.changes(index, last_index))
+    found = incremental.refreshed(files, changed, last_assets, detected)
+    return {"index": index, "assets": checkpointed(found), "changes": changed}
 
 
 def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_priority: float = 0.0,
-         max_age_days: int = 90, top_paths: int = 10, key_chars: int | None = triage.KEY_CHARS) -> dict[str, DataFrame]:
+         max_age_days: int = 90, top_paths: int = 10, key_chars: int | None = triage.KEY_CHARS,
+         found: DataFrame | None = None) -> dict[str, DataFrame]:
     """Threat model of every repository in ``files`` (repo_id, path, content).
 
     Stage tables that several branches read are written once; all else stays lazy.  ``critical_paths`` are found by bounds; only
-    ``paths`` and ``stats`` list all paths.  ``key_chars=None`` merges by whole titles.
+    ``paths`` and ``stats`` list all paths.  ``key_chars=None`` merges by whole titles.  ``found``: assets that are known already, see ``rescan``.
     """
     languages = checkpointed(manifests.languages(files))
     frameworks = checkpointed(manifests.frameworks(files, languages))
     profiles = archetypes.profiles(archetypes.signals(files, languages), frameworks)
     inputs = classify.scan_inputs(frameworks)
-    lines = assets.split_lines(assets.code_files(files)).select(
-        "repo_id", F.col("path").alias("file"), "line_no", "line",
-        # Files in the order of their paths, lines in order; a text key never runs out of room.
-        F.concat("path", F.lit("\x00"), F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("ord"))
-    found = checkpointed(assets.detect_assets(lines))
+    found = checkpointed(detected(files)) if found is None else found
     sites = checkpointed(flows.unique_sites(found))
     dependencies = manifests.dependencies(files, languages)
     raw = rules.code_threats(found, sites, as_of)

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from threatloom.operators import assets as a
 from threatloom.operators import flows as fl
+from threatloom.operators import incremental as inc
+from threatloom.plans import jobs
 from threatloom.plans.registry_triage import text
 from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
@@ -27,6 +29,28 @@ def _page_hits(spark, d):
     return a.rule_hits(a.split_lines(pages)).groupBy("page_id", "rule_id", "sub_id").agg(F.count("*").alias("n_lines"))
 
 
+def _notes(rows):
+    """Documents as files of one repository each."""
+    return rows.select(F.col("doc_id").cast("string").alias("repo_id"), F.lit("notes.py").alias("path"), "content")
+
+
+def rescanned(spark, d):
+    """Assets of all documents by a scan after an earlier one, when some were missing, some had another text or another path, and some
+    more were there."""
+    now, kind = documents(spark, d), F.pmod("doc_id", F.lit(5))
+    before = now.where(kind != 1).withColumn("content", F.when(kind == 2, F.concat(F.lit("password = 1\n"), "content")).otherwise(F.col("content")))
+    files = _notes(before).withColumn("path", F.when(kind == 3, "old/notes.py").otherwise(F.col("path")))
+    files = checkpointed(files.unionByName(_notes(now.where(kind == 1)).withColumn("path", F.lit("gone.py"))))
+    first = jobs.rescan(files, *_nothing(spark))
+    return jobs.rescan(_notes(now), first["index"], first["assets"])["assets"]
+
+
+def _nothing(spark):
+    """Index and assets before the first scan."""
+    none = spark.createDataFrame([], "repo_id string, path string, content string")
+    return inc.file_index(none), jobs.detected(none)
+
+
 QUERIES = {
     "code_files": lambda s, d: a.code_files(v.files(s, d)).select("repo_id", "path"),
     "source_lines": lambda s, d: a.source_lines(documents(s, d)).select(
@@ -40,6 +64,7 @@ QUERIES = {
     "assets_of_documents": lambda s, d: a.detect_assets(a.split_lines(documents(s, d)).select(
         F.col("doc_id").cast("string").alias("repo_id"), F.lit("notes.py").alias("file"),
         F.col("line_no").cast("bigint").alias("ord"), "line_no", "line")).select("repo_id", "id", "type", "name"),
+    "assets_rescanned": lambda s, d: rescanned(s, d).select("repo_id", "id", "type", "name"),
     "assets_by_type_filter": lambda s, d: a.of_type(v.assets(s, d), "api").select(
         "repo_id", F.col("ord").cast("string").alias("ord"), "id", "name"),
     "flow_summary": lambda s, d: fl.flow_summary(sites(s, d)),

@@ -31,9 +31,13 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
     Hidden and vendored folders are left out, but for workflows.  The path test is on file metadata, so Spark drops other
     files before it opens them.
     """
+    return _trees(spark, root, "text", F.col("value").alias("content"))
+
+
+def _trees(spark: SparkSession, root: str, fmt: str, *values: Column) -> DataFrame:
     whole = lambda *paths: (
-        spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load([*paths])
-        .select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content")))
+        spark.read.format(fmt).options(**({"wholetext": True} if fmt == "text" else {})).option("recursiveFileLookup", True).load([*paths])
+        .select(F.col("_metadata.file_path").alias("full"), *values))
     raw = whole(root)
     # Listing passes over names with a leading dot, so the workflow folders are named outright.
     workflows = f"{root.rstrip('/')}/*/.github/workflows"
@@ -41,9 +45,29 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
         raw = raw.union(whole(workflows))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     inner = F.regexp_replace(F.col("full"), rf"^.*?\Q{base}\E/", "")
+    others = [c for c in raw.columns if c != "full"]
     return raw.select(
         F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
-        F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content").where(is_code_path(F.col("path")) | is_model_path(F.col("path")))
+        F.regexp_replace(inner, "^[^/]*/", "").alias("path"), *others).where(is_code_path(F.col("path")) | is_model_path(F.col("path")))
+
+
+def list_trees(spark: SparkSession, root: str) -> DataFrame:
+    """The files of ``read_trees`` with size and time of change, from the listing alone: no file is opened."""
+    meta = [F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified")]
+    return _trees(spark, root, "binaryFile", *meta)
+
+
+def read_listed(spark: SparkSession, root: str, listed: DataFrame, most: int = 10_000) -> DataFrame:
+    """``read_trees`` for the files of ``listed`` (repo_id, path).
+
+    Up to ``most`` names become a test on file metadata, so that no other file is opened.  More are joined: all files are read then,
+    and which ones stay is the same.
+    """
+    files = read_trees(spark, root)
+    names = listed.select("repo_id", "path").distinct().limit(most + 1).collect()
+    if len(names) > most:
+        return files.join(listed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    return files.where(F.concat_ws("/", "repo_id", "path").isin([f"{n.repo_id}/{n.path}" for n in names]))
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
