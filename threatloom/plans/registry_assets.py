@@ -29,20 +29,20 @@ def _page_hits(spark, d):
     return a.rule_hits(a.split_lines(pages)).groupBy("page_id", "rule_id", "sub_id").agg(F.count("*").alias("n_lines"))
 
 
-def _notes(rows):
+def _notes(rows, path):
     """Documents as files of one repository each."""
-    return rows.select(F.col("doc_id").cast("string").alias("repo_id"), F.lit("notes.py").alias("path"), "content")
+    return rows.select(F.col("doc_id").cast("string").alias("repo_id"), path.alias("path"), "content")
 
 
 def rescanned(spark, d):
-    """Assets of all documents by a scan after an earlier one, when some were missing, some had another text or another path, and some
-    more were there."""
-    now, kind = documents(spark, d), F.pmod("doc_id", F.lit(5))
-    before = now.where(kind != 1).withColumn("content", F.when(kind == 2, F.concat(F.lit("password = 1\n"), "content")).otherwise(F.col("content")))
-    files = _notes(before).withColumn("path", F.when(kind == 3, "old/notes.py").otherwise(F.col("path")))
-    files = checkpointed(files.unionByName(_notes(now.where(kind == 1)).withColumn("path", F.lit("gone.py"))))
+    """Assets of all documents by a scan after an earlier one, when some had another text and some stood under another path."""
+    now = documents(spark, d)
+    kind = F.pmod("doc_id", F.lit(5))
+    text_then = F.when(kind == 2, F.concat(F.lit("password = 1\n"), "content")).otherwise(F.col("content"))
+    path_then = F.when(kind == 1, "gone.py").when(kind == 3, "old/notes.py").otherwise("notes.py")
+    files = checkpointed(_notes(now.withColumn("content", text_then), path_then))
     first = jobs.rescan(files, *_nothing(spark))
-    return jobs.rescan(_notes(now), first["index"], first["assets"])["assets"]
+    return jobs.rescan(_notes(now, F.lit("notes.py")), first["index"], first["assets"])["assets"]
 
 
 def _nothing(spark):
