@@ -94,5 +94,12 @@ SQL = {
     "content_ids": ask("asset", "SELECT repo_id, type || ':' || name || '@' || file AS id, count(*) AS n FROM v_asset GROUP BY ALL"),
     "risk_trend": on_threats(DAILY + """ SELECT repo_id, count(*) AS n_scans, min_by(r, day) AS old_risk, max_by(r, day) AS new_risk, round((max_by(r, day) - min_by(r, day)) / min_by(r, day) * 100, 6) AS percent_change,
         CASE WHEN max_by(r, day) > min_by(r, day) THEN 'degrading' WHEN max_by(r, day) < min_by(r, day) THEN 'improving' ELSE 'stable' END AS direction, max_by(n, day) - min_by(n, day) AS threat_change FROM dy GROUP BY repo_id"""),
+    "risk_windows": on_threats(DAILY + """, wn AS (SELECT unnest([7, 30, 90])::BIGINT AS days),
+        jn AS (SELECT x.repo_id, x.day, days, y.r, date_diff('day', x.day::DATE, y.day::DATE) AS gap FROM dy x, wn, dy y
+               WHERE y.repo_id = x.repo_id AND y.day <= x.day AND y.day >= x.day - to_days(days::INT)),
+        ag AS (SELECT repo_id, day, days, count(*) AS n_scans, avg(r) AS mean_risk, max(r) AS highest_risk,
+               (count(*) * sum(gap * r) - sum(gap) * sum(r)) / nullif(count(*) * sum(gap * gap) - sum(gap) * sum(gap), 0) AS slope FROM jn GROUP BY ALL)
+        SELECT repo_id, strftime(day, '%Y-%m-%d') AS day, days, n_scans, round(mean_risk, 6) AS mean_risk, highest_risk, round(round(slope, 10), 6) + 0.0 AS slope,
+          CASE WHEN round(slope, 9) > 0 THEN 'degrading' WHEN round(slope, 9) < 0 THEN 'improving' ELSE 'stable' END AS direction FROM ag"""),
     "risk_steps": on_threats(DAILY + " SELECT repo_id, strftime(day, '%Y-%m-%d') AS day, round(r - lag(r) OVER (PARTITION BY repo_id ORDER BY day), 6) AS risk_step FROM dy"),
 }

@@ -35,6 +35,23 @@ def frameworks(files: DataFrame, repo_languages: DataFrame) -> DataFrame:
     return rows.select("repo_id", "language", framework.alias("framework"))
 
 
+SECTIONS = "dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>"
+
+
+def in_lines(path: Column, content: Column) -> Column:
+    """A JSON or XML manifest written on one line, laid out over lines by its structure, so that it reads like any other.
+
+    JSON that does not parse, and manifests that have lines, stay as they are.
+    """
+    text = trimmed(content)
+    parsed = F.from_json(text, SECTIONS)
+    some = parsed["dependencies"].isNotNull() | parsed["devDependencies"].isNotNull()
+    # to_json writes one entry per line; elements of XML part where one tag follows another.
+    laid = F.when(path.endswith("package.json") & some, F.to_json(parsed, {"pretty": "true"})).when(
+        path.endswith("pom.xml"), F.regexp_replace(text, r">\s*<", ">\n<"))
+    return F.when(text.contains("\n"), content).otherwise(F.coalesce(laid, content))
+
+
 def manifest_lines(files: DataFrame, repo_languages: DataFrame) -> DataFrame:
     """Lines of the manifests that count for the language, with their fallback rank."""
     ranked = [
@@ -43,7 +60,7 @@ def manifest_lines(files: DataFrame, repo_languages: DataFrame) -> DataFrame:
     names = sorted({n for names in ar.MANIFESTS.values() for n in names})
     rows = files.where(F.col("path").isin(*names)).join(repo_languages, "repo_id")
     rows = rows.withColumn("rank", F.coalesce(*ranked)).where(F.col("rank").isNotNull())
-    return rows.select("repo_id", "path", "rank", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    return rows.select("repo_id", "path", "rank", F.posexplode(F.split(in_lines(F.col("path"), F.col("content")), "\n")).alias("pos", "line"))
 
 
 def _section(opens: Column, closes: Column) -> Column:

@@ -281,6 +281,36 @@ def trend(scans: DataFrame) -> DataFrame:
         (F.col("new.total_threats") - F.col("old.total_threats")).alias("threat_change"))
 
 
+WINDOWS = (7, 30, 90)
+
+
+def trend_windows(scans: DataFrame, days: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """Each scan over the last ``days`` days of its repository, itself and scans of the same time included: scans, mean and highest
+    risk, and the least-squares slope of risk per day (null where all scans are of one time).
+
+    A window reaches back over at most one border of a period of its own length, so rows stand in their period and, as context, in the next.
+    A repository scanned for years is thus many small tasks, not one.  Scans without a time or a risk take no part.
+    """
+    out = None
+    for length in days:
+        seconds = length * 86400
+        at = F.unix_micros("scan_ts") / 1e6
+        period = F.floor(at / seconds)
+        rows = scans.where("scan_ts IS NOT NULL AND max_risk IS NOT NULL").select("repo_id", "scan_ts", "max_risk", F.explode(
+            F.array(F.struct(period.alias("period"), F.lit(True).alias("own")), F.struct((period + 1).alias("period"), F.lit(False).alias("own")))).alias("p"))
+        rows = rows.select("repo_id", "scan_ts", "max_risk", "p.*").withColumns({
+            # Days since the start of the period: small numbers lose no digits in the sums.
+            "day": (at - F.col("period") * seconds) / 86400, "micros": F.unix_micros("scan_ts")})
+        last = Window.partitionBy("repo_id", "period").orderBy("micros").rangeBetween(-seconds * 1_000_000, Window.currentRow)
+        slope = F.when(F.min("micros").over(last) < F.max("micros").over(last), F.regr_slope("max_risk", "day").over(last))
+        found = rows.select(
+            "repo_id", "scan_ts", "own", F.lit(length).cast("bigint").alias("days"), F.count("*").over(last).alias("n_scans"),
+            F.avg("max_risk").over(last).alias("mean_risk"), F.max("max_risk").over(last).alias("highest_risk"), slope.alias("slope")).where("own").drop("own")
+        out = found if out is None else out.unionByName(found)
+    steep = F.round("slope", 9)
+    return out.withColumn("direction", F.when(steep > 0, "degrading").when(steep < 0, "improving").otherwise("stable"))
+
+
 def scan_steps(scans: DataFrame) -> DataFrame:
     """Each scan against the one before it in its repository."""
     before = Window.partitionBy("repo_id").orderBy("scan_ts")

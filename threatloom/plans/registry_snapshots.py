@@ -57,6 +57,9 @@ QUERIES = {
     "diff_json": lambda s, d: sn.as_json(sn.diff_assets(asset_scans(s, d))),
     "content_ids": lambda s, d: sn.with_content_ids(v.assets(s, d)).groupBy("repo_id", "id").agg(F.count("*").alias("n")),
     "risk_trend": lambda s, d: sn.trend(daily_scans(s, d)).withColumn("percent_change", F.round("percent_change", 6)),
+    "risk_windows": lambda s, d: sn.trend_windows(daily_scans(s, d)).select(
+        "repo_id", F.date_format("scan_ts", "yyyy-MM-dd").alias("day"), "days", "n_scans", F.round("mean_risk", 6).alias("mean_risk"),
+        "highest_risk", (F.round(F.round("slope", 10), 6) + F.lit(0.0)).alias("slope"), "direction"),
     "risk_steps": lambda s, d: sn.scan_steps(daily_scans(s, d)).select(
         "repo_id", F.date_format("scan_ts", "yyyy-MM-dd").alias("day"), F.round("risk_step", 6).alias("risk_step")),
 }
