@@ -235,3 +235,23 @@ def test_wide_vectors_are_found_too(spark):
     right = exact(rows, asked, 20)
     got = ann.nearest(table.where("vec_id % 100 = 0"), table).collect()
     assert sum(r.vec_id in right[r.query_id] for r in got) / (20 * len(asked)) >= 0.9
+
+
+def test_long_conversations_go_in_shares(spark):
+    """Lengths around the borders of the shares, neighbours of one role across them, and one conversation of 60,000 turns."""
+    share = chat.SHARE
+    sizes = {1: 1, 2: share - 1, 3: share, 4: share + 1, 5: 2 * share + 1, 6: 60_000}
+    roles = ["user", "assistant", "assistant", "tool", "assistant", "user", "user"]
+    rows = spark.createDataFrame([(i, n) for i, n in sizes.items()], "conv_id bigint, n int").select("conv_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("turn"))
+    role = F.when(F.col("conv_id") == 4, "user").otherwise(F.element_at(F.array(*[F.lit(r) for r in roles]), F.col("turn") % len(roles) + 1))
+    text = F.when(F.col("turn") % 11 == 3, "").otherwise(F.concat(F.lit("é<|end|>"), F.col("turn").cast("string")))
+    done = chat.formatted(rows.withColumns({"role": role, "text": text}))
+    got = done.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted").collect()
+    assert sorted(r.conv_id for r in got) == sorted(sizes)
+    for r in got:
+        says = lambda n: "" if n % 11 == 3 else f"é<|end|>{n}"
+        is_role = lambda n: "user" if r.conv_id == 4 else roles[n % len(roles)]
+        want = [(is_role(n), says(n)) for n in range(sizes[r.conv_id])]
+        assert [tuple(t) for t in r.turns] == want
+        assert r.loss == "".join(t for role, t in want if role == "assistant")
+        assert r.formatted.count(chat.START) == 1 + sum(a[0] != b[0] for a, b in zip(want, want[1:]))

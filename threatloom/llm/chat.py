@@ -13,6 +13,8 @@ _NAMES = "turn|says|and|end"
 _RAW = rf"<(\\*)\|({_NAMES})\|>"
 _ESCAPED = rf"<\\(\\*)\|({_NAMES})\|>"
 TRAINED_ROLE = "assistant"
+# Turns that one aggregate walks over: an aggregate copies its arrays at every step, so long conversations go in shares.
+SHARE = 256
 
 
 def escaped(text: Column) -> Column:
@@ -39,9 +41,10 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     talks = turns.select(F.col(conv_col).alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
     spans = "array<struct<start:bigint,length:bigint>>"
-    start = F.struct(
-        F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("bigint").alias("at"),
-        F.array().cast(spans).alias("spans"))
+
+    def start(role: Column) -> Column:
+        return F.struct(
+            role.alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
         opening = F.when(acc.role == x.role, F.lit(NEXT)).otherwise(
@@ -54,8 +57,17 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             x.role.alias("role"), F.concat(acc.pieces, F.array(opening, text)).alias("pieces"), (begin + size).cast("bigint").alias("at"),
             F.when(x.role == trained_role, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
-    done = talks.select("conv_id", F.aggregate("turns", start, add).alias("done"))
-    return done.select("conv_id", F.concat(F.concat_ws("", "done.pieces"), F.lit(END)).alias("formatted"), F.col("done.spans").alias("loss_spans"))
+    # A share starts with the role of the turn before it; its spans count from its own start and are moved by the lengths before.
+    share = lambda c: F.aggregate(
+        F.slice("turns", c * SHARE + 1, SHARE), start(F.when(c > 0, F.get("turns", c * SHARE - 1).role)), add)
+    last = F.floor((F.size("turns") - 1) / SHARE).cast("int")
+    done = talks.select("conv_id", F.transform(F.sequence(F.lit(0), last), share).alias("shares"))
+    begins = F.aggregate("shares", F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    done = done.withColumn("begins", begins)
+    moved = F.flatten(F.transform("shares", lambda x, c: F.transform(
+        x.spans, lambda s: F.struct((s.start + F.get("begins", c)).alias("start"), s.length.alias("length")))))
+    pieces = F.flatten(F.transform("shares", lambda x: x.pieces))
+    return done.select("conv_id", F.concat(F.concat_ws("", pieces), F.lit(END)).alias("formatted"), moved.alias("loss_spans"))
 
 
 def read_turns(text: Column) -> Column:
@@ -72,5 +84,14 @@ def read_turns(text: Column) -> Column:
 
 
 def read_loss(text: Column, spans: Column) -> Column:
-    """All text under the loss mask."""
-    return F.concat_ws("", F.transform(spans, lambda s: unescaped(F.substring(text, (s.start + 1).cast("int"), s.length.cast("int")))))
+    """All text under the loss mask.  Finding a character walks from the start of the string, so a share of the spans is cut out first."""
+    def of_share(c: Column) -> Column:
+        some = F.slice(spans, c * SHARE + 1, SHARE)
+        first, last = F.element_at(some, 1), F.element_at(some, -1)
+        part = F.substring(text, (first.start + 1).cast("int"), (last.start + last.length - first.start).cast("int"))
+        # One-element arrays bind the cut part and its place, so that they are made once.
+        return F.concat_ws("", F.flatten(F.transform(F.array(F.struct(part.alias("text"), first.start.alias("at"))), lambda p: F.transform(
+            some, lambda s: unescaped(F.substring(p.text, (s.start - p["at"] + 1).cast("int"), s.length.cast("int")))))))
+
+    shares = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / SHARE).cast("int"))
+    return F.when(F.size(spans) > 0, F.concat_ws("", F.transform(shares, of_share))).otherwise("")
