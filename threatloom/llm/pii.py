@@ -28,27 +28,43 @@ def _iban_pattern() -> str:
         groups, rest = divmod(length - 4, 4)
         bounded.append(f"(?:{'|'.join(countries.split())})\\d\\d(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
     other = r"[A-Z]{2}\d\d(?:[A-Z0-9]{11,31}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*bounded, other])})(?![A-Za-z0-9])"
+    # The countries are tried only where two capitals and two digits stand.
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:{'|'.join([*bounded, other])})(?![A-Za-z0-9])"
 
 
 KEY = "pseudonym-key-1"
 
+_SECRET_NAME = r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?"
+# Fixed value: what keys of well-known services and signed web tokens begin with.
+_KEY_HEADS = r"gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza"
+
 # What is looked for, in this order of preference at one place.  Digits are never cut out of longer digit runs.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Starts where a run of signs starts, or behind the last found value, so that a long run without @ is read once.
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,9} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END (?:[A-Z]{2,9} ){0,3}PRIVATE KEY-----",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{6,}",
+    "web_token": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "service_key": rf"(?<![A-Za-z0-9])(?:(?:{_KEY_HEADS})[A-Za-z0-9_-]{{16,}}|sk-[A-Za-z0-9]{{20,}})",
+    # A bare word behind a space ("password: required") is prose; a digit, a change of case, a quote or no space makes it a value.
+    "secret": rf"{_SECRET_NAME}(?:\s{{0,3}}[:=]\s{{0,3}}[\"']|\s{{0,3}}[:=]\s{{0,3}}(?=[A-Za-z_+/.-]*(?:\d|[a-z][A-Z]))|[:=])[A-Za-z0-9_+/.-]{{6,}}",
     "date": r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "slash_date": r"(?<![\d/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\d/])",
+    "month_first_date": r"(?<![\d/])(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/(?:19|20)\d\d(?![\d/])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "phone": r"(?<!\d)(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)",
+    # Global, unique-local and link-local addresses, whole or with one gap.
+    "ipv6": (r"(?<![A-Za-z0-9:.])(?i:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f])"
+             r"(?i:(?::[0-9a-f]{1,4}){7}|(?::[0-9a-f]{1,4}){0,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![A-Za-z0-9:])"),
+    "foreign_phone": r"(?<![\d+])\+[2-9]\d(?:[ .-]?\d){6,12}(?!\d)",
+    "phone": (r"(?<!\d)(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)"
+              r"|(?<![A-Za-z])(?i:telephone|phone|mobile|cell|call|tel|fax)[ :.#]{1,3}(?:\+?1)?[2-9]\d\d[2-9]\d{6}(?!\d)"),
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
     "iban": _iban_pattern(),
 }
 ANY = "|".join(PATTERNS.values())
 # A cheap test that every pattern implies, so that most texts are passed over in one scan.
-_HINT = r"[@\d]|AKIA|ASIA|(?i:passw|secret|token|api[_-]?key)"
+_HINT = rf"[@\d]|AKIA|ASIA|(?i:passw|secret|token|api[_-]?key)|PRIVATE KEY|eyJ|sk-|{_KEY_HEADS}|(?i:f[cd][0-9a-f]{{2}}|fe[89ab][0-9a-f]):"
 
 
 def _noise(key: str, label: str, number: Column, *parts: Column) -> Column:
@@ -196,7 +212,10 @@ def valid_iban(text: Column) -> Column:
     return (F.length(plain) >= 15) & (_mod97(moved) == 1)
 
 
-def by_sign_kind(key: str, label: str, text: Column) -> Column:
+_KINDS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_sign_kind(key: str, label: str, text: Column, kinds: tuple[str, ...] = _KINDS) -> Column:
     """Feistel rounds over the two halves of a string: every letter or digit is shifted within its own kind, by noise drawn
     from the other half, so the format (kinds and punctuation) stays and the map can be inverted."""
     half = F.floor((F.length(text) + 1) / 2).cast("int")
@@ -206,9 +225,9 @@ def by_sign_kind(key: str, label: str, text: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
             noise = _noise(key, label, turn, i, F.length(text), other)
             out = s
-            for first, size, test in ((48, 10, "^[0-9]$"), (65, 26, "^[A-Z]$"), (97, 26, "^[a-z]$")):
-                moved = F.chr(F.lit(first) + F.pmod(F.ascii(s) - first + noise, F.lit(size)))
-                out = F.when(s.rlike(test), moved).otherwise(out)
+            for signs in kinds:
+                place = F.instr(F.lit(signs), s)
+                out = F.when(place > 0, F.substring(F.lit(signs), (F.pmod(place - 1 + noise, F.lit(len(signs))) + 1).cast("int"), F.lit(1))).otherwise(out)
             return out
 
         return F.when(part == "", part).otherwise(F.concat_ws("", F.transform(F.split(part, ""), one)))
@@ -234,6 +253,39 @@ def _after(prefix: str, label: str) -> Callable[[str, Column], Column]:
     return run
 
 
+def _ipv6(key: str, text: Column) -> Column:
+    """The first group stays, so the address keeps its range; the length of every group stays as well."""
+    small = F.lower(text)
+    return F.concat(F.substring(small, 1, 4), by_sign_kind(key, "ipv6", F.substring(small, F.lit(5), F.length(small)), ("0123456789abcdef",)))
+
+
+def _foreign_phone(key: str, text: Column) -> Column:
+    """Two digits of the country code stay; a number is the same however it is spaced."""
+    digits = digits_of(text)
+    own = by_sign_kind(key, "foreign phone", F.substring(digits, F.lit(3), F.length(digits)))
+    return refilled(text, F.concat(F.substring(digits, 1, 2), own))
+
+
+def _web_token(key: str, text: Column) -> Column:
+    """Both encoded braces stay."""
+    parts = F.split(text, r"\.")
+    inner = F.concat_ws(".", *[F.substring(parts[i], F.lit(4), F.length(parts[i])) for i in (0, 1)], parts[2])
+    return let(F.split(by_sign_kind(key, "web token", inner), r"\."), lambda p: F.concat(
+        F.lit("eyJ"), p[0], F.lit(".eyJ"), p[1], F.lit("."), p[2]))
+
+
+def _private_key(key: str, text: Column) -> Column:
+    """The lines that open and close the block stay."""
+    head, tail = F.regexp_extract(text, r"\A-----BEGIN [A-Z ]*-----", 0), F.regexp_extract(text, r"-----END [A-Z ]*-----\z", 0)
+    inner = F.substring(text, F.length(head) + 1, F.length(text) - F.length(head) - F.length(tail))
+    return F.concat(head, by_sign_kind(key, "private key", inner), tail)
+
+
+def _month_first_date(key: str, text: Column) -> Column:
+    """The day is permuted as in the other ways of writing it; the result may have a day below 13."""
+    return F.date_format(_day(key, F.try_to_date(text, "MM/dd/yyyy")), "MM/dd/yyyy")
+
+
 def _slash_date(key: str, text: Column) -> Column:
     return F.date_format(_day(key, F.try_to_date(text, "dd/MM/yyyy")), "dd/MM/yyyy")
 
@@ -247,6 +299,7 @@ def kind_of(match: Column) -> Column:
     checks = {
         "card": valid_card(match), "iban": valid_iban(match), "date": F.try_to_date(match, "yyyy-MM-dd").isNotNull(),
         "slash_date": F.try_to_date(match, "dd/MM/yyyy").isNotNull(),
+        "month_first_date": F.try_to_date(match, "MM/dd/yyyy").isNotNull(),
     }
     out = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
@@ -258,8 +311,11 @@ def kind_of(match: Column) -> Column:
 
 _MAKERS: dict[str, Callable[[str, Column], Column]] = {
     "email": _email, "aws_key": _after(r"\A(?:AKIA|ASIA)", "aws"),
-    "secret": _after(r"(?i)\A(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?", "secret"),
-    "date": _iso_date, "slash_date": _slash_date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card, "iban": _iban,
+    "private_key": _private_key, "web_token": _web_token,
+    "service_key": _after(rf"\A(?:{_KEY_HEADS}|sk-)", "service key"),
+    "secret": _after(rf"\A{_SECRET_NAME}\s*[:=]\s*[\"']?", "secret"),
+    "date": _iso_date, "slash_date": _slash_date, "month_first_date": _month_first_date, "ssn": _ssn, "ip": _ip, "ipv6": _ipv6,
+    "foreign_phone": _foreign_phone, "phone": _phone, "card": _card, "iban": _iban,
 }
 
 
@@ -274,8 +330,9 @@ def pseudonym(found: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str = "pii_found") -> DataFrame:
     """``docs`` with personal values in ``text_col`` replaced, and their number by kind (a map) in ``found_col``.
 
-    Finds e-mail addresses, access keys, secrets behind a name, dates of 1900 to 2099, social security numbers, IPv4 addresses,
-    North American phone numbers, payment cards and IBANs; the last two and dates must pass their check.  Text around the
+    Finds e-mail addresses, access keys, private key blocks, web tokens, secrets behind a name, dates of 1900 to 2099, social
+    security numbers, IPv4 and IPv6 addresses, phone numbers (North American ones in groups or behind a word for them, others with
+    their country code), payment cards and IBANs; the last two and dates must pass their check.  Text around the
     values is kept sign by sign; a text without values stays as it is; null stays null and has an empty map.  All other
     columns are kept; a column named like ``found_col`` is replaced.  The plan is one narrow projection: rows never move.
     """
