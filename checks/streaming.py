@@ -13,6 +13,9 @@ SQL = {
   UNION ALL SELECT repo_id, dedup_key, ord, 'tag', severity, 2 FROM ev UNION ALL SELECT repo_id, dedup_key, ord, 'feed', 'feed-' || ord % 3, 1 FROM ev
   UNION ALL SELECT repo_id, dedup_key, ord, 'feed', 'list-' || CAST(regexp_extract(dedup_key, '[0-9]+$', 0) AS BIGINT) % 2, 2 FROM ev)
   SELECT repo_id, dedup_key, kind, value, min(ord) AS ord, CAST(min_by(pos, ord) AS BIGINT) AS pos FROM ls GROUP BY ALL""",
+    "stream_age_split": """WITH e AS (SELECT event_id, event_id % 3 AS batch, ts FROM events), m AS (SELECT batch, max(ts) AS top FROM e GROUP BY batch),
+  b AS (SELECT x.batch, max(m.top) AS before FROM (SELECT DISTINCT batch FROM e) x LEFT JOIN m ON m.batch < x.batch GROUP BY x.batch)
+  SELECT event_id, batch, coalesce(ts < before - INTERVAL 10 DAY, false) AS late FROM e JOIN b USING (batch)""",
     "intake_log": ask("finding", "SELECT severity AS source, count(*) AS n_records, count(*) FILTER (WHERE NOT regexp_matches(error_type, '^\\[[0-9]')) AS n_errors FROM v_finding GROUP BY severity"),
     "intake_bad_records": ask("finding", "SELECT severity AS source, error_type AS record FROM v_finding WHERE NOT regexp_matches(error_type, '^\\[[0-9]')"),
     "technique_sets": ask("threat", ST + " SELECT DISTINCT repo_id, technique_id FROM v_threat JOIN st ON st.code = stride_primary"),

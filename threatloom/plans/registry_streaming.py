@@ -11,6 +11,7 @@ from threatloom.sources import feed as fd
 from threatloom.sources import files as fs
 from threatloom.sources import sample_views as v
 from threatloom.streaming import intake as st
+from threatloom.streaming import late
 from threatloom.streaming import merge as mg
 
 
@@ -64,6 +65,17 @@ def windows(spark, d):
     return st.latest(spark, f"{folder}/out", keys)
 
 
+def age_split(spark, d, days=10):
+    """The events arrive in three shares, one batch each; every run goes on from the state that the last one left."""
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for share in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == share).write.mode("append").parquet(f"{folder}/in")
+        stream = st.read_stream(spark, f"{folder}/in", events.schema)
+        late.start(stream, f"{folder}/out", f"{folder}/state", days, "ts").awaitTermination()
+    return late.read(spark, f"{folder}/out", events.schema)
+
+
 def feed_records(spark, d, size=500):
     """The events as a vendor's feed would leave them, ``size`` to a page, read back through the feed source."""
     folder = f"{work_folder(spark)}/feed-{uuid.uuid4().hex}"
@@ -86,6 +98,7 @@ QUERIES = {
     "stream_merged": merged_heads,
     "stream_merged_lists": lambda s, d: mg.values(merged(s, d)).select(
         "repo_id", "dedup_key", "kind", "value", F.col("first.ord").alias("ord"), F.col("first.pos").cast("bigint").alias("pos")),
+    "stream_age_split": lambda s, d: age_split(s, d).select("event_id", "batch", "late"),
     "intake_log": lambda s, d: fs.intake_log(v.findings(s, d), "severity", "error_type", "array<int>"),
     "intake_bad_records": lambda s, d: fs.bad_records(v.findings(s, d), "severity", "error_type", "array<int>"),
     "technique_sets": lambda s, d: te.with_technique_ids(v.threats(s, d)).select(

@@ -56,19 +56,24 @@ def _remove(spark: SparkSession, name: str) -> None:
     files.delete(path, True)
 
 
-def _complete(spark: SparkSession, name: str) -> bool:
+def complete(spark: SparkSession, name: str) -> bool:
     path, files = _path(spark, f"{name}/_SUCCESS")
     return files.exists(path)
 
 
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``<prefix><number>`` in a folder."""
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        return []
+    numbers = [int(s.getPath().getName().removeprefix(prefix)) for s in files.listStatus(path)]
+    return [n for n in numbers if complete(spark, f"{folder}/{prefix}{n}")]
+
+
 def live_parts(spark: SparkSession, folder: str, fold: int = FOLD) -> list[str]:
     """Parts that together hold the newest state: as few of the highest levels as cover all batches, in a number that is
     logarithmic in the batches."""
-    path, files = _path(spark, f"{folder}/level=0")
-    if not files.exists(path):
-        return []
-    numbers = [int(s.getPath().getName().removeprefix("part=")) for s in files.listStatus(path)]
-    numbers = [n for n in numbers if _complete(spark, _part(folder, 0, n))]
+    numbers = numbered(spark, f"{folder}/level=0", "part=")
     if not numbers:
         return []
     end, out, at = max(numbers) + 1, [], 0
@@ -77,7 +82,7 @@ def live_parts(spark: SparkSession, folder: str, fold: int = FOLD) -> list[str]:
         while at % fold ** (level + 1) == 0 and at + fold ** (level + 1) <= end:
             level += 1
         # A crash can come between a batch and its fold: then the parts below it still stand.
-        while level and not _complete(spark, _part(folder, level, at // fold**level)):
+        while level and not complete(spark, _part(folder, level, at // fold**level)):
             level -= 1
         out.append(_part(folder, level, at // fold**level))
         at += fold**level
