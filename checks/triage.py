@@ -72,4 +72,8 @@ SQL = {
         SELECT repo_id, CAST(sum(n_rows) AS BIGINT) AS normalized, CAST(sum(n_rows) AS BIGINT) AS enriched, count(*) AS deduplicated,
           count(*) AS prioritized, count(*) FILTER (WHERE NOT false_positive AND priority >= 0.3 AND {AGE} <= 25) AS filtered
         FROM merged GROUP BY repo_id"""),
+    "triage_observed": ask("threat", MERGE + f""", c AS (SELECT CAST(sum(n_rows) AS BIGINT) AS n_read, count(*) AS n_merged,
+          count(*) FILTER (WHERE NOT false_positive AND priority >= 0.3 AND {AGE} <= 25) AS n_kept FROM merged)
+        SELECT unnest(['normalized', 'enriched', 'deduplicated', 'prioritized', 'filtered']) AS stage,
+          unnest([n_read, n_read, n_merged, n_merged, n_kept]) AS n FROM c"""),
 }

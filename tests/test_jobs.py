@@ -44,6 +44,9 @@ def test_source_tree_to_threat_model(spark, tmp_path):
     stats = out["stats"].first()
     assert stats.total_assets == out["assets"].count() and stats.total_paths == out["paths"].count() > 0
     assert out["mitigations"].count() > 0 and stats.max_risk > 0
+    rows = {r.stage: r.n for r in out["stage_rows"].collect()}
+    assert all(rows[name] == out[name].count() for name in ("frameworks", "assets", "sites", "threats", "mapped"))
+    assert rows["normalized"] == rows["enriched"] == rows["raw threats"] and rows["filtered"] == rows["threats"] > 0
 
 
 def test_snapshots_replace_one_partition_and_reject_other_schemas(spark, tmp_path):

@@ -1,4 +1,5 @@
 from helpers import AS_OF, threat, threats
+from pyspark.sql import Observation
 from threatloom.functions import scores
 from threatloom.operators import triage as t
 
@@ -63,3 +64,13 @@ def test_stage_counts(spark):
     df = threats(spark, threat(1), threat(2), threat(3, "b", false_positive=True))
     row = t.stage_counts(df, AS_OF).first()
     assert (row.normalized, row.deduplicated, row.filtered) == (3, 2, 1)
+
+
+def test_observed_stages_equal_the_counted_ones(spark):
+    df = threats(spark, threat(1, "a"), threat(2, "a"), threat(3, "b", at="2020-01-01 00:00:00"), threat(4, "c", repo="other", false_positive=True))
+    counted = t.stage_counts(df, AS_OF).groupBy().sum().first().asDict()
+    seen, empty = Observation(), Observation()
+    t.triage(df, AS_OF, seen=seen).write.format("noop").mode("overwrite").save()
+    assert t.stage_rows(seen) == {name: counted[f"sum({name})"] for name in t.STAGES}
+    t.triage(df.where("false"), AS_OF, seen=empty).write.format("noop").mode("overwrite").save()
+    assert set(t.stage_rows(empty).values()) == {0}

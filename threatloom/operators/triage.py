@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threatloom.catalogs import stride
@@ -193,17 +193,35 @@ def prioritized(threats: DataFrame) -> DataFrame:
     return threats.orderBy(F.desc("priority"), "repo_id", "ord")
 
 
-def triage(threats: DataFrame, as_of, min_priority: float = 0.0, max_age_days: int = 90, key_chars: int | None = KEY_CHARS) -> DataFrame:
-    """Triaged threats; ``key_chars=None`` takes whole titles, in merging and where a description stands in."""
+STAGES = ["normalized", "enriched", "deduplicated", "prioritized", "filtered"]
+
+
+def _stage_sums(as_of, min_priority: float, max_age_days: int) -> list[Column]:
+    """Rows after each stage, summed over merged threats."""
+    read, merged = F.sum("n_rows"), F.count(F.lit(1))
+    last = F.count_if(worth_keeping(as_of, min_priority, max_age_days))
+    return [count.alias(name) for count, name in zip((read, read, merged, merged, last), STAGES, strict=True)]
+
+
+def triage(threats: DataFrame, as_of, min_priority: float = 0.0, max_age_days: int = 90, key_chars: int | None = KEY_CHARS,
+           seen: Observation | None = None) -> DataFrame:
+    """Triaged threats; ``key_chars=None`` takes whole titles, in merging and where a description stands in.
+
+    ``seen`` holds the rows after each stage once the result has been written, see ``stage_rows``.
+    """
     merged = merge_duplicates(enrich(normalize(threats, as_of, key_chars)), as_of, key_chars)
+    if seen is not None:
+        merged = merged.observe(seen, *_stage_sums(as_of, min_priority, max_age_days))
     return keep(merged, as_of, min_priority, max_age_days)
 
 
+def stage_rows(seen: Observation) -> dict[str, int]:
+    """Rows after each triage stage, in all repositories; waits for the action that makes the result of ``triage``."""
+    found = seen.get
+    return {name: found.get(name) or 0 for name in STAGES}
+
+
 def stage_counts(threats: DataFrame, as_of, min_priority: float = 0.0, max_age_days: int = 90) -> DataFrame:
     """Rows after each triage stage per repository, from one run of the merge."""
     merged = merge_duplicates(enrich(normalize(threats, as_of)), as_of)
-    return merged.groupBy("repo_id").agg(
-        F.sum("n_rows").alias("normalized"), F.sum("n_rows").alias("enriched"),
-        F.count("*").alias("deduplicated"), F.count("*").alias("prioritized"),
-        F.count_if(worth_keeping(as_of, min_priority, max_age_days)).alias("filtered"),
-    )
+    return merged.groupBy("repo_id").agg(*_stage_sums(as_of, min_priority, max_age_days))

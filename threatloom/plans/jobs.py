@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.operators import (
@@ -53,25 +53,29 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
 
     Stage tables that several branches read are written once; all else stays lazy.  ``critical_paths`` are found by bounds; only
     ``paths`` and ``stats`` list all paths.  ``key_chars=None`` merges by whole titles.  ``found``: assets that are known already, see ``rescan``.
+    ``stage_rows`` (stage, n) tells the rows of each stage and of triage's steps, counted while the stages are written.
     """
-    languages = checkpointed(manifests.languages(files))
-    frameworks = checkpointed(manifests.frameworks(files, languages))
+    rows: dict[str, int] = {}
+    seen = Observation()
+    languages = checkpointed(manifests.languages(files), rows, "languages")
+    frameworks = checkpointed(manifests.frameworks(files, languages), rows, "frameworks")
     profiles = archetypes.profiles(archetypes.signals(files, languages), frameworks)
     inputs = classify.scan_inputs(frameworks)
-    found = checkpointed(detected(files)) if found is None else found
-    sites = checkpointed(flows.unique_sites(found))
+    found = checkpointed(detected(files), rows, "assets") if found is None else found
+    sites = checkpointed(flows.unique_sites(found), rows, "sites")
     dependencies = manifests.dependencies(files, languages)
     raw = rules.code_threats(found, sites, as_of)
     if feed_threats is not None:
         raw = triage.union_sources(raw, feed_threats.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0")))
-    raw = checkpointed(raw)  # triage reads it for the rows and again for their lists
-    threats = checkpointed(techniques.with_technique_ids(triage.triage(raw, as_of, min_priority, max_age_days, key_chars)))
+    raw = checkpointed(raw, rows, "raw threats")  # triage reads it for the rows and again for their lists
+    threats = checkpointed(techniques.with_technique_ids(triage.triage(raw, as_of, min_priority, max_age_days, key_chars, seen)), rows, "threats")
+    rows.update(triage.stage_rows(seen))
     flow_rows = flows.flow_summary(sites)
     affected = mapping.affected_dependencies(
         threats, triage.merged_indicators(triage.normalize(raw, as_of, key_chars), key_chars), dependencies)
-    mapped = checkpointed(mapping.map_threats(threats, mapping.repository_counts(found, flow_rows), affected))
-    node_rows = checkpointed(diagram.nodes(found, threats))
-    edge_rows = checkpointed(diagram.edges(sites))
+    mapped = checkpointed(mapping.map_threats(threats, mapping.repository_counts(found, flow_rows), affected), rows, "mapped")
+    node_rows = checkpointed(diagram.nodes(found, threats), rows, "nodes")
+    edge_rows = checkpointed(diagram.edges(sites), rows, "edges")
     graph_nodes = checkpointed(paths.graph_nodes(node_rows, edge_rows, diagram.trust_zones(node_rows)))
     graph_edges = checkpointed(paths.graph_edges(edge_rows, graph_nodes))
     scored = paths.score_paths(paths.attack_paths(graph_nodes, graph_edges), graph_nodes)
@@ -85,6 +89,7 @@ def scan(files: DataFrame, as_of, feed_threats: DataFrame | None = None, min_pri
         "mitigations": mapping.code_mitigations(mapped, languages).unionByName(
             mapping.patch_mitigations(affected, mapped, languages)),
         "stats": reports.scan_stats(found, flow_rows, threats, mapped, scored),
+        "stage_rows": files.sparkSession.createDataFrame(list(rows.items()), "stage string, n bigint"),
     }
 
 

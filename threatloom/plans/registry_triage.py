@@ -1,10 +1,12 @@
 """Registered queries: triage of threats."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from threatloom.functions import scores
 from threatloom.operators import triage as t
 from threatloom.plans import AS_OF
+from threatloom.session import checkpointed
 from threatloom.sources import sample_views as v
 
 
@@ -35,6 +37,13 @@ def triaged(spark, d):
     return t.triage(v.threats(spark, d), AS_OF, min_priority=0.3, max_age_days=25)
 
 
+def observed(spark, d):
+    """Rows after each stage of one triage, counted while its result is written."""
+    seen = Observation()
+    checkpointed(t.triage(v.threats(spark, d), AS_OF, min_priority=0.3, max_age_days=25, seen=seen))
+    return spark.createDataFrame(list(t.stage_rows(seen).items()), "stage string, n bigint")
+
+
 QUERIES = {
     "threat_scores": _scores,
     "threats_normalized": lambda s, d: t.normalize(v.threats(s, d), AS_OF).select(
@@ -50,4 +59,5 @@ QUERIES = {
         "repo_id", "dedup_key", "title", "severity", "instance_count", F.round("priority", 6).alias("priority")),
     "triage_stage_counts": lambda s, d: t.stage_counts(
         v.threats(s, d), AS_OF, min_priority=0.3, max_age_days=25),
+    "triage_observed": observed,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -46,9 +47,16 @@ def work_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: dict[str, int] | None = None, name: str = "") -> DataFrame:
     """Write a stage table to the shared folder as Parquet and go on from there: lineage is cut, a lost executor costs a
-    re-read only, and later readers prune columns.  The folder goes when the session ends."""
+    re-read only, and later readers prune columns.  The folder goes when the session ends.
+
+    ``rows[name]`` is set to the number of rows, counted while they are written.
+    """
     path = f"{work_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    counted = df if rows is None else df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.parquet(path)
+    if rows is not None:
+        rows[name] = seen.get.get("n", 0)
     return df.sparkSession.read.schema(df.schema).parquet(path)
