@@ -23,11 +23,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8), the one of the smallest id.
 
-    Repeated rows of one id and text are one document; rows without id stay.
+    Repeated rows of one id and text are one document.  A row without id goes by a hash of its text, above all real ids, so it
+    stays only where its group has no row with an id.
     """
-    verdict = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = verdict.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    mark = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("bigint"), mark).alias("_key"))
+    verdict = neardup.near_duplicates(keyed, id_col="_key", words=5, percent=80)
+    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key", "text"]).select(*COLUMNS)
 
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
