@@ -37,6 +37,20 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert tables["mixing"].groupby("doc_id").size().max() <= 3
 
 
+def test_rows_without_id_go_with_their_group(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other, free = (" ".join(w) for w in (words, [*words[:-1], "end"], words[::-1], [*words[20:], *words[:20], *"abcdefghijklmnopqrstuvwxyz"]))
+    rows = [(1, base), (None, base), (None, near), (None, other), (None, other), (None, other + " more"), (5, None), (None, None), (None, None), (6, free), (6, free)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    others = [t for i, t in got if i is None and t]
+    assert len(others) == 1 and others[0].startswith(other)
+    assert sorted((str(x) for x in got if x[1] not in others)) == sorted(map(str, [(1, base), (5, None), (None, None), (6, free)]))
+    assert corpus_pipeline.keep_one_of_each(spark, docs.where("false"), SMALL).count() == 0
+
+
 def test_run_gives_packed_pieces(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
