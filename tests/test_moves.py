@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -98,6 +99,49 @@ def test_edges_and_rules_read_the_sites_without_writing_stages(spark):
     assert "parquet" not in plan(ru.flow_rule_counts(sites)).lower()
 
 
+def moves(df):
+    """Hash exchanges of a plan, by the columns they deal out by."""
+    return [re.sub(r"#\d+L?", "", found) for found in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(df))]
+
+
+def test_sites_written_by_file_are_not_moved_by_what_reads_them_by_file(spark):
+    rows, sites = sites_of(spark)
+    stage = checkpointed(sites, by=fl.FILE)
+    assert sorted(moves(sites)) == ["repo_id, file", "repo_id, id"]
+    assert moves(fl.neighbourhood(stage)) == moves(fl.file_counts(stage)) == []
+    assert "repo_id, file" not in moves(ru.flow_rule_counts(stage)) + moves(dg.edges(stage))
+    key = lambda r: [str(x) for x in r]
+    for job in (lambda s: s, fl.neighbourhood, fl.flow_summary, ru.flow_rule_counts):
+        assert sorted(job(stage).collect(), key=key) == sorted(job(sites).collect(), key=key)
+
+
+def test_stage_tables_by_column_keep_nulls_and_leave_no_table(spark):
+    rows = [("r", "a", 1), ("r", None, 2), (None, None, 3), ("s", "b", None)]
+    counted = {}
+    stage = checkpointed(spark.createDataFrame(rows, "repo_id string, file string, n bigint"), counted, "n", by=fl.FILE)
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted(rows, key=str) and counted == {"n": 4}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+
+
+def test_flow_ends_stay_in_their_file(spark):
+    rows, _ = sites_of(spark)
+    rows.append(asset(200, "api", file="c/no.go", line=None))
+    placed = checkpointed(fl.unique_placed(assets(spark, *rows)), by=fl.FILE)
+    ends = fl.flow_endpoints(placed, fl.line_sites(placed))
+    # One row per file goes to its repository and comes back; the assets lie where they are.
+    assert all("id" not in keys.split(", ") and "line" not in keys.split(", ") for keys in moves(ends))
+    assert moves(ends).count("repo_id, file") <= 1
+    found = {(r.id, r.kind, r.role): r.n_flows for r in ends.collect()}
+    ids = {}
+    for x in rows:
+        ids.setdefault(x[2], x)
+    for r in (r for r in ends.collect() if r.kind == "auth-api"):
+        other = "api" if r.role == "source" else "authentication"
+        assert found[r.id, r.kind, r.role] == sum(
+            x[3] == other and x[5] == r.file and x[6] is not None and abs(x[6] - r.line) < 50 for x in ids.values())
+    assert not any(r.line is None for r in ends.collect())
+
+
 def test_nodes_read_the_assets_once(spark):
     found = assets(spark, *[asset(i, "database", file="a/x.go", line=i) for i in range(3)]).withColumn("name", F.lit("Database Insert"))
     told = te.with_technique_ids(tr.triage(threats(spark, threat(1, "database open", "high"), threat(2, "the database", "low")), AS_OF))
