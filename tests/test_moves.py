@@ -160,3 +160,24 @@ def test_scan_statistics_read_the_listed_paths_once(spark):
     assert plan(stats).count("FileScan") == 1
     rows = {r.repo_id: (r.total_paths, round(r.max_risk, 6), round(r.avg_risk, 6)) for r in stats.collect()}
     assert rows == {"r": (2, 0.8, 0.5), "s": (0, 0.2, 0.2)}
+
+
+def test_flow_summary_reads_its_sites_once(spark):
+    rows, sites = sites_of(spark)
+    stage = checkpointed(sites, by=fl.FILE)
+    # What is left to read is one row of sums per file.
+    assert "Window" not in plan(fl.flow_summary(stage)) and "line" not in plan(fl.flow_summary(stage))
+    sensitive = {(r.file, r.kind): r.n_sensitive for r in fl.flow_summary(stage).collect()}
+    ids = {}
+    for x in rows:
+        ids.setdefault(x[2], x)
+    near = lambda a, b: a[3] == "authentication" and b[3] == "api" and a[5] == b[5] and abs(a[6] - b[6]) < 50
+    for file in ("a/x.go", "b/config.go", "b/y.go"):
+        want = sum(near(a, b) for a in ids.values() for b in ids.values() if a[5] == file)
+        assert sensitive.get((file, "auth-api"), 0) == want
+
+
+def test_sums_near_a_line_take_each_row_once(spark):
+    _, sites = sites_of(spark)
+    frames = re.findall(r"RangeFrame, (\S+), ", plan(fl.neighbourhood(sites)))
+    assert frames and set(frames) == {"unboundedpreceding$()"}
