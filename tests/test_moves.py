@@ -181,3 +181,34 @@ def test_sums_near_a_line_take_each_row_once(spark):
     _, sites = sites_of(spark)
     frames = re.findall(r"RangeFrame, (\S+), ", plan(fl.neighbourhood(sites)))
     assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
+def test_first_of_an_id_travels_with_its_order_once(spark):
+    rows = [asset(3, "api", file="late.go", id_="x"), asset(2, "secret", file="first.go", line=9, id_="x"), asset(None, "api", file="a.go", id_="x"),
+            asset(None, "api", file="b.go", id_="y"), asset(5, "queue", file="c.go", id_=None, sensitive=True)]
+    found = fl.unique_placed(assets(spark, *rows))
+    assert "min_by" not in plan(found)
+    got = {r.id: (r.ord, r.file, r.line, r.type, r.sensitive) for r in found.collect()}
+    assert got == {"x": (2, "first.go", 9, "secret", False), "y": (None,) * 5, "queue-5": (5, "c.go", 1, "queue", True)}
+
+
+def test_list_values_of_threats_are_found_once(spark):
+    rows = threats(spark, threat(1, "a", "low", ["1", "2"], ["x"], ["f"], cves=["C"]), threat(2, "b", "high", ["2", "3"], ["y", "x"], ["f"], cves=["C"]),
+                   threat(3, "c", "critical", [], ["code-analysis"], primary="T"))
+    plain = tr.triage(rows, AS_OF)
+    values = checkpointed(tr.first_appearances(tr.with_key(tr.normalize(rows, AS_OF))), by=tr.KEY)
+    shared = tr.triage(rows, AS_OF, values=values)
+    assert "Generate" in plan(plain) and "Generate" not in plan(shared)
+    key = lambda r: r.dedup_key
+    assert sorted(shared.collect(), key=key) == sorted(plain.collect(), key=key)
+    listed = lambda found: sorted(map(tuple, found.collect()))
+    assert listed(tr.indicator_rows(values)) == listed(tr.merged_indicators(tr.normalize(rows, AS_OF)))
+
+
+def test_detection_rules_do_not_travel(spark):
+    rows = threats(spark, threat(2, "t", "high", primary="T"), threat(1, "t", "low", primary="S"))
+    told = tr.triage(rows, AS_OF)
+    assert all("detection_rules" not in line for line in plan(told).splitlines() if "partial_min_by" in line)
+    first = told.first()
+    assert first.affects_known_assets is False and first.severity == "high"
+    assert first.detection_rules == tr.enrich(rows).where("ord = 1").first().detection_rules
