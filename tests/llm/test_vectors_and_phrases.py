@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,16 @@ def test_slack_of_other_shards_is_mended(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_mined", too_low)
     assert sorted(tuple(r) for r in phrases.collocations(frame, least=25).collect()) == plain_collocations(rows, 4, 25, 2000)
     assert len(seen) == 4 and seen[0][1]["en"] == seen[1][1]["en"] > 0
+
+
+def test_phrases_are_cut_out_as_they_are_joined(monkeypatch):
+    texts = ["Big\tRED dog  runs Über ÄÖ x", "", "a B c. d e\x0bF", " lone ", "one two   three FOUR\tfive"]
+    words = phrases.Words(pa.array(texts), ["en", "en", "de", "de", "fr"])
+    for size in range(1, 5):
+        first, _ = words.phrases(size)
+        assert words.strings(first, size).to_pylist() == [words.string(place, size) for place in first.tolist()]
+    assert words.strings(np.zeros(0, np.int64), 2).to_pylist() == []
+    # Phrases whose words have one sign between them are not joined one at a time.
+    monkeypatch.setattr(phrases.Words, "string", None)
+    plain = phrases.Words(pa.array(["A b\tC"]), ["en"])
+    assert plain.strings(np.array([0]), 3).to_pylist() == ["a b c"]

@@ -32,6 +32,9 @@ _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _SPACE
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
+_LOWER = np.arange(256, dtype=np.uint8)  # of a phrase: A-Z in lower case, a tab between words as a blank
+_LOWER[0x41:0x5B] += 32
+_LOWER[0x09] = 0x20
 _PLACE = mixed(np.arange(11, 11 + LONGEST, dtype=np.uint64)) | np.uint64(1)
 UNKNOWN = "und"
 
@@ -78,6 +81,25 @@ class Words:
     def string(self, first: int, size: int) -> str:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[first : first + size].tolist(), self.ends[first : first + size].tolist(), strict=True)).lower().decode()
 
+    def strings(self, first: np.ndarray, size: int) -> pa.Array:
+        """The phrases of ``size`` words that start at these words: cut out at once, if single signs stand between their words."""
+        first = first.astype(np.int64)
+        opens, length = self.starts[first].astype(np.int64), (self.ends[first + size - 1] - self.starts[first]).astype(np.int64)
+        letters = sum((self.ends[first + j] - self.starts[first + j]).astype(np.int64) for j in range(size))
+        plain = length == letters + (size - 1)
+        parts = []
+        at = np.flatnonzero(plain)
+        for low in range(0, len(at), 1 << 14):
+            some = at[low : low + (1 << 14)]
+            offsets = np.concatenate([[0], np.cumsum(length[some])])
+            text = _LOWER[self.data[np.repeat(opens[some] - offsets[:-1], length[some]) + np.arange(offsets[-1])]]
+            parts.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)))
+        odd = np.flatnonzero(~plain)
+        parts.append(pa.array([self.string(place, size) for place in first[odd].tolist()], pa.string()))
+        places = np.empty(len(first), np.int64)
+        places[np.concatenate([at, odd])] = np.arange(len(first))
+        return pa.concat_arrays(parts).take(pa.array(places)) if len(odd) else pa.concat_arrays(parts)
+
 
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
@@ -144,48 +166,58 @@ def _strings(base: DataFrame, wanted) -> DataFrame:
     ``wanted`` gives (words in a phrase, first words, keys) of the phrases of a stretch of texts.  Tasks add up before they report.
     """
     def count(batches):
-        known: dict[int, int] = {}  # place of a key in the lists
-        keys, names, sizes, counts = [], [], [], []
+        shares: list[tuple[str, int]] = []  # language and its words in a shard
+        held: list = []  # keys, counts, sizes, languages and phrases, one row per key
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({
-                "lang": pa.array([n[0] for n in names], pa.string()), "phrase": pa.array([n[1] for n in names], pa.string()),
-                "size": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.int64()), "count": pa.array(counts, pa.int64())})
-            known.clear()
-            for column in (keys, names, sizes, counts):
-                column.clear()
-            return batch
-
-        def add(key: int, name: tuple[str, str | None], size: int, number: int) -> None:
-            keys.append(key)
-            names.append(name)
-            sizes.append(size)
-            counts.append(number)
+            none = pa.nulls(len(shares), pa.string())
+            keys, counts, sizes, langs, names = held or [np.zeros(0, np.int64)] * 3 + [none[:0]] * 2
+            return pa.RecordBatch.from_pydict({
+                "lang": pa.concat_arrays([langs, pa.array([lang for lang, _ in shares], pa.string())]), "phrase": pa.concat_arrays([names, none]),
+                "size": pa.array(np.append(sizes, np.array([n for _, n in shares], np.int64)).astype(np.int32)),
+                "key": pa.array(np.append(keys, np.zeros(len(shares), np.int64))), "count": pa.array(np.append(counts, np.ones(len(shares), np.int64)))})
 
         for shard in _shards(batches, SHARD_BYTES):
-            for lang, number in _sizes(shard).items():
-                add(0, (lang, None), number, 1)
+            shares += _sizes(shard).items()
             found = [(words, size, *phrases) for words in shard for size, *phrases in wanted(words)]
-            if not found:
-                continue
-            distinct, at, total = np.unique(np.concatenate([f[3] for f in found]), return_index=True, return_counts=True)
-            part = np.searchsorted(np.cumsum([len(f[3]) for f in found]), at, "right")
-            first = np.concatenate([f[2] for f in found])[at]
-            for key, which, place, number in zip(distinct.view(np.int64).tolist(), part.tolist(), first.tolist(), total.tolist(), strict=True):
-                if key in known:
-                    counts[known[key]] += number
-                else:
-                    known[key] = len(keys)
-                    words, size = found[which][:2]
-                    add(key, (words.names[words.lang[place]], words.string(place, size)), size, number)
-            if len(keys) > FLUSH_STRINGS:
-                yield out()
+            if found:
+                held = _added(held, _distinct(found))
+                if len(held[0]) > FLUSH_STRINGS:
+                    yield out()
+                    shares, held = [], []
         yield out()
 
     parts = base.mapInArrow(count, "lang string, phrase string, size int, key bigint, count bigint")
     return parts.groupBy("lang", "phrase", "size").agg(F.min("key").alias("key"), F.sum("count").alias("count"))
 
 
+def _distinct(found: list) -> list:
+    """The phrases of a shard, one row per key: keys, counts, sizes, languages and phrases."""
+    keys, at, counts = np.unique(np.concatenate([f[3] for f in found]), return_index=True, return_counts=True)
+    order = np.argsort(at)  # by the part a phrase is taken from
+    keys, at, counts = keys[order].view(np.int64), at[order], counts[order]
+    ends = np.cumsum([len(f[3]) for f in found])
+    cuts = np.searchsorted(at, np.append(0, ends))
+    sizes, langs, names = [], [pa.array([], pa.string())], [pa.array([], pa.string())]
+    for (words, size, first, part), end, low, high in zip(found, ends.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        chosen = first[at[low:high] - (end - len(part))]
+        sizes.append(np.full(high - low, size, np.int64))
+        langs.append(pa.array(words.names, pa.string()).take(pa.array(words.lang[chosen])))
+        names.append(words.strings(chosen, size))
+    return [keys, counts.astype(np.int64), np.concatenate(sizes), pa.concat_arrays(langs), pa.concat_arrays(names)]
+
+
+def _added(held: list, more: list) -> list:
+    """Rows of both, added up by key."""
+    if not held:
+        return more
+    keys, at, row = np.unique(np.concatenate([held[0], more[0]]), return_index=True, return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, row, np.concatenate([held[1], more[1]]))
+    langs, names = (pa.concat_arrays([held[i], more[i]]).take(pa.array(at)) for i in (3, 4))
+    return [keys, counts, np.concatenate([held[2], more[2]])[at], langs, names]
+
+
 def _sizes(shard: list[Words]) -> dict[str, int]:
     """Words of each language in a shard."""
     out: dict[str, int] = {}
