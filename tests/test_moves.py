@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helpers import AS_OF, asset, assets, threat, threats
 from threatloom.operators import diagram as dg
 from threatloom.operators import flows as fl
+from threatloom.operators import mapping as mp
 from threatloom.operators import paths as pt
 from threatloom.operators import reports as rp
 from threatloom.operators import rules as ru
@@ -212,3 +213,13 @@ def test_detection_rules_do_not_travel(spark):
     first = told.first()
     assert first.affects_known_assets is False and first.severity == "high"
     assert first.detection_rules == tr.enrich(rows).where("ord = 1").first().detection_rules
+
+
+def test_locations_of_types_that_no_threat_touches_are_not_moved(spark):
+    kinds = ["api", "cache", "queue", "database", "authentication", "cryptography"]
+    rows = checkpointed(assets(spark, *[asset(i, kinds[i % 6], file=f"f{i % 4}.go", line=i) for i in range(60)]))
+    mapped = spark.createDataFrame([("r", "t1", "I"), ("r", "t2", "S"), ("r", "t3", "R")], "repo_id string, id string, stride_primary string")
+    found = mp.top_locations(rows, mapped, 3)
+    assert re.search(r"PushedFilters: \[[^]]*In\(type, ", plan(found))
+    assert sorted((r.threat_id, r.rank, r.line) for r in found.collect()) == [
+        ("t1", 1, 0), ("t1", 2, 3), ("t1", 3, 6), ("t2", 1, 4), ("t2", 2, 10), ("t2", 3, 16)]
