@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from helpers import AS_OF, asset, assets, threat, threats
+from threatloom.catalogs import code
 from threatloom.operators import diagram as dg
 from threatloom.operators import flows as fl
 from threatloom.operators import mapping as mp
@@ -223,3 +224,56 @@ def test_locations_of_types_that_no_threat_touches_are_not_moved(spark):
     assert re.search(r"PushedFilters: \[[^]]*In\(type, ", plan(found))
     assert sorted((r.threat_id, r.rank, r.line) for r in found.collect()) == [
         ("t1", 1, 0), ("t1", 2, 3), ("t1", 3, 6), ("t2", 1, 4), ("t2", 2, 10), ("t2", 3, 16)]
+
+
+def test_edges_pair_the_sites_of_a_file_without_a_join(spark):
+    rows, sites = sites_of(spark)
+    stage = checkpointed(sites, by=fl.FILE)
+    shown = plan(dg.edges(stage))
+    assert "Join" not in shown and shown.count("Window [") == 2
+    ids = {}
+    for x in sorted(rows, key=lambda x: x[1]):
+        ids.setdefault(x[2], x)
+    lines = {}
+    for _, ord_, _, kind, _, file, line, *_ in ids.values():
+        lines.setdefault((file, line), []).append((ord_, kind))
+    placed = []
+    for r in stage.collect():
+        found = lines[r.file, r.line]
+        placed.append((r, f"{min(found)[1]}-{r.file.split('/')[0]}", any(kind == "cryptography" for _, kind in found)))
+    want = {}
+    config = lambda r: "config" in r.file
+    for (s, s_node, s_enc), (d, d_node, d_enc) in itertools.product(placed, placed):
+        for place, (kind, source, target, *_) in enumerate(code.FLOW_KINDS):
+            starts = s.sensitive and s.type != "cryptography" if source == "+" else s.type == source
+            ends = d.type != "secret" if target == "*" else d.type == target
+            near = s.file == d.file and (kind != "auth-api" or abs(s.line - d.line) < 50)
+            if starts and ends and (near or (kind == "env-svc" and config(d))):
+                flow = (place, s.ord, d.ord, s.sensitive, d.sensitive, s_enc or d_enc)
+                want[s_node, d_node] = min(want.get((s_node, d_node), flow), flow)
+    types = {k[0]: k[3] for k in code.FLOW_KINDS}
+    order = [k[0] for k in code.FLOW_KINDS]
+    got = {(r.source, r.target): (r.data_type, r.encrypted) for r in dg.edges(stage).collect()}
+    assert got == {pair: (types[order[flow[0]]], flow[5]) for pair, flow in want.items()}
+
+
+def test_sites_without_order_come_first_in_edges(spark):
+    sites = spark.createDataFrame(
+        [("r", "a/x", 1, "api", False, 1, 5), ("r", "a/x", 1, "cryptography", False, 1, 9), ("r", "a/x", 2, "api", False, 1, None),
+         ("r", "a/x", 3, "database", False, 1, 7)],
+        "repo_id string, file string, line bigint, type string, sensitive boolean, n bigint, ord bigint")
+    assert [(r.source, r.target, r.encrypted) for r in dg.edges(sites).collect()] == [("api-a", "database-a", False)]
+
+
+def test_steps_of_easiest_paths_are_not_moved_every_round(spark, monkeypatch):
+    names, edges, nodes, rows = random_graph(spark)
+    written = []
+    monkeypatch.setattr(pt, "checkpointed", lambda df, **kept: written.append((df.columns, kept)) or checkpointed(df, **kept))
+    found = {(r.entry, r.target): r.total_cost for r in pt.easiest_paths(nodes, rows).collect()}
+    assert (["repo_id", "node", "target", "difficulty"], {"by": ["repo_id", "node"]}) in written
+    want = {}
+    for i, x in enumerate(names):
+        for path in walks(edges, [x], len(names)) if i % 3 == 0 else ():
+            if int(path[-1][1:]) % 2 == 1:
+                want[x, path[-1]] = min(want.get((x, path[-1]), 99), 0.5 * (len(path) - 1))
+    assert found == want
