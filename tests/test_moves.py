@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from helpers import AS_OF, asset, assets, threat, threats
 from threatloom.catalogs import code
+from threatloom.operators import assets as found_assets
+from threatloom.operators import best_paths as bp
 from threatloom.operators import diagram as dg
 from threatloom.operators import flows as fl
 from threatloom.operators import mapping as mp
@@ -17,6 +19,7 @@ from threatloom.operators import rules as ru
 from threatloom.operators import techniques as te
 from threatloom.operators import triage as tr
 from threatloom.session import checkpointed
+from threatloom.sources import sample_views as views
 
 
 def plan(df):
@@ -277,3 +280,55 @@ def test_steps_of_easiest_paths_are_not_moved_every_round(spark, monkeypatch):
             if int(path[-1][1:]) % 2 == 1:
                 want[x, path[-1]] = min(want.get((x, path[-1]), 99), 0.5 * (len(path) - 1))
     assert found == want
+
+
+def test_tables_in_shares_are_read_where_they_lie(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("k"))
+    rows.repartition(16).write.parquet(str(tmp_path / "shares"))
+    rows.repartition(1).write.parquet(str(tmp_path / "one"))
+    rows.where("k < 0").write.parquet(str(tmp_path / "none"))
+    assert "REPARTITION" not in views.dealt(spark, str(tmp_path / "shares"))
+    assert "REPARTITION" in views.dealt(spark, str(tmp_path / "one")) and "REPARTITION" in views.dealt(spark, str(tmp_path / "none"))
+    assert spark.sql(f"SELECT k FROM {views.dealt(spark, str(tmp_path / 'shares'))} t").count() == 4000
+
+
+def test_only_rows_of_repeated_ids_are_moved_by_id(spark, monkeypatch):
+    rows = [asset(i, "api", file=f"f{i % 7}.go", line=i, id_=f"x{i % 90}") for i in range(100)]
+    rows += [asset(None, "api", id_="y"), asset(None, "queue", id_="z"), asset(200, "queue", id_="z")]
+    rows += [(None, 300, "x1", *rows[0][3:]), ("r", 301, None, *rows[0][3:]), ("r", 302, None, *rows[1][3:]), (None, 303, None, *rows[1][3:])]
+    table = checkpointed(assets(spark, *rows).drop("tags"))
+    told = found_assets.repeated_ids(table)
+    assert told.count() >= 12
+    split = found_assets.unique_by_id(table, told)
+    shown = plan(split)
+    assert "Union" in shown and "LeftAnti" in shown and moves(split) == ["repo_id, id"]
+    key = lambda r: [str(x) for x in r]
+    want = sorted(found_assets.unique_by_id(table).collect(), key=key)
+    assert sorted(split.collect(), key=key) == want
+    monkeypatch.setattr(found_assets, "TOLD_IDS", 3)
+    assert found_assets.repeated_ids(table) is None
+
+
+def test_order_of_assets_does_not_travel_to_their_nodes(spark):
+    rows = [asset(2, "api", file="a/x.go", name="/b", description="second"), asset(3, "database", file="b/x.go", name="db", description="only"),
+            asset(4, "database", file="c/x.go"), asset(5, "database", file="c/y.go"), asset(1, "api", file="d/x.go", name="/d", description="one")]
+    table = checkpointed(assets(spark, *rows))
+    none = te.with_technique_ids(tr.triage(threats(spark, threat(1, "t")), AS_OF))
+    nodes = dg.nodes(table, none)
+    scan = next(line for line in plan(nodes).splitlines() if "FileScan" in line)
+    assert "ord#" not in scan
+    got = {r.node_id: (r.label, r.description, r.n_files) for r in nodes.collect()}
+    assert got["api-a"] == ("/b", "second", 1) and got["api-d"] == ("/d", "one", 1)
+    assert got["database-b"][1:] == ("only", 1) and got["database-c"][1:] == ("2 assets across 2 files", 2)
+
+
+def test_stage_tables_that_lie_in_their_shares_are_not_moved(spark):
+    key = ["a", "b"]
+    known = checkpointed(spark.createDataFrame([(1, 1, 5), (2, 2, 6), (None, 2, 7)], "a int, b int, n int"), by=key)
+    offers = spark.createDataFrame([(2, 2, 1), (3, 3, 2)], "a int, b int, m int").groupBy(*key).agg(F.min("m").alias("m"))
+    joined = known.join(offers, key, "full_outer")
+    assert moves(joined) == ["a, b"]
+    stage = checkpointed(joined, by=key, placed=True)
+    assert moves(stage.groupBy(*key).count()) == []
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted([(1, 1, 5, None), (2, 2, 6, 1), (3, 3, None, 2), (None, 2, 7, None)], key=str)
+    assert sorted(map(tuple, stage.groupBy(*key).count().collect()), key=str) == sorted([(1, 1, 1), (2, 2, 1), (3, 3, 1), (None, 2, 1)], key=str)
