@@ -332,3 +332,14 @@ def test_stage_tables_that_lie_in_their_shares_are_not_moved(spark):
     assert moves(stage.groupBy(*key).count()) == []
     assert sorted(map(tuple, stage.collect()), key=str) == sorted([(1, 1, 5, None), (2, 2, 6, 1), (3, 3, None, 2), (None, 2, 7, None)], key=str)
     assert sorted(map(tuple, stage.groupBy(*key).count().collect()), key=str) == sorted([(1, 1, 1), (2, 2, 1), (3, 3, 1), (None, 2, 1)], key=str)
+
+
+def test_known_ways_are_written_where_they_lie(spark, monkeypatch):
+    names, edges, nodes, rows = random_graph(spark)
+    written = []
+    monkeypatch.setattr(pt, "checkpointed", lambda df, **kept: written.append((df, kept)) or checkpointed(df, **kept))
+    pt.easiest_paths(nodes, rows)
+    rounds = [(df, kept) for df, kept in written if kept.get("placed")]
+    assert len(rounds) > 1 and all(kept["by"] == ["repo_id", "entry", "node"] for _, kept in rounds)
+    # The ways known before come into the join without a move; the fresh ones go to their node and come back as offers.
+    assert all(moves(df).count("repo_id, entry, node") == 1 for df, _ in rounds)
