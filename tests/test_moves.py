@@ -343,3 +343,14 @@ def test_known_ways_are_written_where_they_lie(spark, monkeypatch):
     assert len(rounds) > 1 and all(kept["by"] == ["repo_id", "entry", "node"] for _, kept in rounds)
     # The ways known before come into the join without a move; the fresh ones go to their node and come back as offers.
     assert all(moves(df).count("repo_id, entry, node") == 1 for df, _ in rounds)
+
+
+def test_steps_of_the_best_paths_are_not_moved_every_round(spark, monkeypatch):
+    names, edges, nodes, rows = random_graph(spark)
+    written = []
+    monkeypatch.setattr(bp, "checkpointed", lambda df, **kept: written.append((df.columns, kept)) or checkpointed(df, **kept))
+    best = bp.best_paths(nodes, rows, 3).collect()
+    by = [kept.get("by") for columns, kept in written if "success_step" in columns]
+    assert by == [["repo_id", "node"], ["repo_id", "next"]]
+    scored = pt.critical_paths(pt.score_paths(pt.attack_paths(nodes, rows), nodes), 3)
+    assert sorted(r.visited for r in best) == sorted(r.visited for r in scored.collect())

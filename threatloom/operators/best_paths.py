@@ -43,6 +43,8 @@ def _prospects(moves: DataFrame, jewels: DataFrame, max_depth: int) -> DataFrame
     """Per node and number of steps the most that walks of just that many steps to a jewel can add, term by term; one row per
     node with an entry per number of steps."""
     ends = jewels.select("repo_id", F.col("node").alias("next"), "jewel_value")
+    # Every level asks for the steps by where they lead.
+    moves = checkpointed(moves, by=["repo_id", "next"])
     zero = F.lit(0)
     ahead = ends.select("repo_id", "next", F.lit(1.0).alias("success"), F.col("jewel_value").alias("jewel"), zero.alias("crossings"),
                         zero.cast("bigint").alias("ids"), zero.alias("known"))
@@ -111,12 +113,13 @@ def best_paths(node_rows: DataFrame, edge_rows: DataFrame, limit: int = 10, max_
     with ``limit`` partial paths per node finds good paths; the second one drops only what cannot beat them, so it is exact.
     A repository's partial paths grow only where their bounds lie above its ``limit``-th best path.
     """
-    moves = checkpointed(_moves(edge_rows))
-    jewels = checkpointed(node_rows.where("is_jewel").select("repo_id", F.col("node_id").alias("node"), "jewel_value"))
+    # Every round asks for these by node, so they are written by it and not moved again.
+    moves = checkpointed(_moves(edge_rows), by=NODE)
+    jewels = checkpointed(node_rows.where("is_jewel").select("repo_id", F.col("node_id").alias("node"), "jewel_value"), by=NODE)
     starts = checkpointed(node_rows.where("is_entry").select(
         "repo_id", F.col("node_id").alias("entry"), F.col("node_id").alias("node"), "exposure", F.array("node_id").alias("visited"),
         F.lit(1.0).alias("success"), F.lit(0).alias("crossings"), F.lit(0).cast("bigint").alias("ids"), F.lit(0).alias("known")))
-    prospects = checkpointed(_prospects(moves, jewels, max_depth)) if max_depth > 1 else None
+    prospects = checkpointed(_prospects(moves, jewels, max_depth), by=NODE) if max_depth > 1 else None
     good = _walk(starts, moves, jewels, prospects, limit, max_depth, None, limit)
     best = _walk(starts, moves, jewels, prospects, limit, max_depth, good, None)
     return _with_steps(best, edge_rows)
