@@ -354,3 +354,26 @@ def test_steps_of_the_best_paths_are_not_moved_every_round(spark, monkeypatch):
     assert by == [["repo_id", "node"], ["repo_id", "next"]]
     scored = pt.critical_paths(pt.score_paths(pt.attack_paths(nodes, rows), nodes), 3)
     assert sorted(r.visited for r in best) == sorted(r.visited for r in scored.collect())
+
+
+def test_asset_rules_read_the_assets_once_and_pair_no_lines(spark):
+    dice = random.Random(5)
+    kinds = ["api", "authentication", "secret", "cryptography", "queue"]
+    rows = [asset(i, dice.choice(kinds), file=dice.choice(["a.go", "b.env", "c.go"]), line=dice.choice([None, *range(1, 400)]),
+                  description=dice.choice(["", "save to localStorage"])) for i in range(120)]
+    table = checkpointed(assets(spark, *rows))
+    hits = ru.asset_rule_hits(table)
+    assert plan(hits).count("FileScan") == 1 and "Join" not in plan(hits) and moves(hits) == ["repo_id, file"]
+    assert "Join" not in plan(ru.unguarded_apis(table))
+    guarded = lambda x: any(y[3] == "authentication" and y[5] == x[5] and None not in (x[6], y[6]) and abs(x[6] - y[6]) < 50 for y in rows)
+    open_ = {x[2] for x in rows if x[3] == "api" and not guarded(x)}
+    assert {r.id for r in ru.unguarded_apis(table).collect()} == open_
+    want = {}
+    for x in rows:
+        rule = 1 if x[2] in open_ else 3 if x[3] == "secret" and ".env" not in x[5] else 6 if x[3] == "cryptography" else 7 if (
+            x[3] == "authentication" and x[7]) else 0
+        if rule:
+            want.setdefault((x[5], x[6]), (rule, x[2]))
+    assert {(r.file, r.line): (r.rule, r.id) for r in hits.collect()} == want
+    assert set(hits.columns) == {*table.columns, "rule"}
+    assert set(ru.asset_rule_hits(table, ru.TOLD).columns) == {*ru.TOLD, "rule"}
