@@ -348,9 +348,9 @@ def test_known_ways_are_written_where_they_lie(spark, monkeypatch):
 def test_steps_of_the_best_paths_are_not_moved_every_round(spark, monkeypatch):
     names, edges, nodes, rows = random_graph(spark)
     written = []
-    monkeypatch.setattr(bp, "checkpointed", lambda df, **kept: written.append((df.columns, kept)) or checkpointed(df, **kept))
+    monkeypatch.setattr(bp, "checkpointed_by", lambda df, by: written.append((df.columns, by)) or checkpointed(df, by=by))
     best = bp.best_paths(nodes, rows, 3).collect()
-    by = [kept.get("by") for columns, kept in written if "success_step" in columns]
+    by = [by for columns, by in written if "success_step" in columns]
     assert by == [["repo_id", "node"], ["repo_id", "next"]]
     scored = pt.critical_paths(pt.score_paths(pt.attack_paths(nodes, rows), nodes), 3)
     assert sorted(r.visited for r in best) == sorted(r.visited for r in scored.collect())

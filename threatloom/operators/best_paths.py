@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from threatloom.catalogs import attack
 from threatloom.operators import paths
 from threatloom.operators.reports import first_per
-from threatloom.session import checkpointed
+from threatloom.session import checkpointed, checkpointed_by
 
 NODE = ["repo_id", "node"]
 # Risks are compared after rounding to this many digits, as in the scored listing.
@@ -44,7 +44,7 @@ def _prospects(moves: DataFrame, jewels: DataFrame, max_depth: int) -> DataFrame
     node with an entry per number of steps."""
     ends = jewels.select("repo_id", F.col("node").alias("next"), "jewel_value")
     # Every level asks for the steps by where they lead.
-    moves = checkpointed(moves, by=["repo_id", "next"])
+    moves = checkpointed_by(moves, ["repo_id", "next"])
     zero = F.lit(0)
     ahead = ends.select("repo_id", "next", F.lit(1.0).alias("success"), F.col("jewel_value").alias("jewel"), zero.alias("crossings"),
                         zero.cast("bigint").alias("ids"), zero.alias("known"))
@@ -114,12 +114,12 @@ def best_paths(node_rows: DataFrame, edge_rows: DataFrame, limit: int = 10, max_
     A repository's partial paths grow only where their bounds lie above its ``limit``-th best path.
     """
     # Every round asks for these by node, so they are written by it and not moved again.
-    moves = checkpointed(_moves(edge_rows), by=NODE)
-    jewels = checkpointed(node_rows.where("is_jewel").select("repo_id", F.col("node_id").alias("node"), "jewel_value"), by=NODE)
+    moves = checkpointed_by(_moves(edge_rows), NODE)
+    jewels = checkpointed_by(node_rows.where("is_jewel").select("repo_id", F.col("node_id").alias("node"), "jewel_value"), NODE)
     starts = checkpointed(node_rows.where("is_entry").select(
         "repo_id", F.col("node_id").alias("entry"), F.col("node_id").alias("node"), "exposure", F.array("node_id").alias("visited"),
         F.lit(1.0).alias("success"), F.lit(0).alias("crossings"), F.lit(0).cast("bigint").alias("ids"), F.lit(0).alias("known")))
-    prospects = checkpointed(_prospects(moves, jewels, max_depth), by=NODE) if max_depth > 1 else None
+    prospects = checkpointed_by(_prospects(moves, jewels, max_depth), NODE) if max_depth > 1 else None
     good = _walk(starts, moves, jewels, prospects, limit, max_depth, None, limit)
     best = _walk(starts, moves, jewels, prospects, limit, max_depth, good, None)
     return _with_steps(best, edge_rows)
